@@ -4,7 +4,9 @@ from __future__ import annotations
 from quarrykit.llm.bpe import encode
 from quarrykit.llm.cooccur import pattern_tag_pairs
 from quarrykit.llm.lookalike import look_alike_pairs
+from quarrykit.llm.neardup import pattern_groups, pattern_pairs
 from quarrykit.llm.packing import pack_documents
+from quarrykit.llm.secrets import corpus_credentials, corpus_redacted
 from quarrykit.llm.termfreq import pattern_terms
 from quarrykit.session import table
 
@@ -17,6 +19,14 @@ def p1_pairs(spark, d):
     return pattern_tag_pairs(table(spark, d, "saved_pattern")).select("tag_a", "tag_b", "n_ab", "n_a", "n_b", "n_records")
 
 
+def p2_found(spark, d):
+    return pattern_pairs(table(spark, d, "saved_pattern"))
+
+
+def p2_groups(spark, d):
+    return pattern_groups(table(spark, d, "saved_pattern"))
+
+
 def p4_found(spark, d):
     return pattern_terms(table(spark, d, "saved_pattern")).where("mark IS NOT NULL").select("field", "term", "mark")
 
@@ -25,6 +35,14 @@ def p4_terms(spark, d):
     return pattern_terms(table(spark, d, "saved_pattern")).select("field", "term", "uses", "records", "mark")
 
 
+def p5_found(spark, d):
+    return corpus_credentials(table(spark, d, "class_info"), table(spark, d, "saved_pattern"))
+
+
+def p5_redacted(spark, d):
+    return corpus_redacted(table(spark, d, "class_info"), table(spark, d, "saved_pattern"))
+
+
 def p6_ids(spark, d):
     return encode(table(spark, d, "documents"))
 
@@ -37,7 +55,7 @@ def p8_found(spark, d):
     return look_alike_pairs(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p4_found, p4_terms, p6_ids, p7_containers, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_groups, p4_found, p4_terms, p5_found, p5_redacted, p6_ids, p7_containers, p8_found)}
 
 CURRENT = """current_row AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS rn FROM saved_pattern) WHERE rn = 1
