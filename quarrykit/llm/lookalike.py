@@ -12,12 +12,12 @@ import hashlib
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrykit.llm.bpe import WHITE_SPACE
+from quarrykit.session import cut_lineage
 
 #: Ranges of the Unicode property Default_Ignorable_Code_Point.
 IGNORABLE = [
@@ -72,36 +72,54 @@ def comparable(text: str, table: dict[int, str]) -> str:
     return unicodedata.normalize("NFKC", text)
 
 
-def _with_form(df: DataFrame, key: str, text: str, form) -> DataFrame:
-    """key, form and digests of form and text; once per distinct value of a batch."""
+def _digest(value: bytes) -> bytes:
+    return hashlib.blake2b(value, digest_size=16).digest()
+
+
+def _digests(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key and digests of visible form and text; once per distinct value of a batch, null for blank forms."""
     source = df.select(F.col(key), F.col(text).alias("__text"))
     table = shape_table()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             coded = batch.column(1).dictionary_encode()
-            own, made, digest = [], [], []
+            own, shown = [], []
             for value in coded.dictionary.cast(pa.binary()).to_pylist():
-                shown = form(value.decode("utf-8", "replace"), table)
-                blank = not shown.strip()
-                own.append(None if blank else hashlib.blake2b(value, digest_size=16).digest())
-                made.append(shown)
-                digest.append(None if blank else hashlib.blake2b(shown.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                form = visible(value.decode("utf-8", "replace"), table)
+                blank = not form.strip()
+                own.append(None if blank else _digest(value))
+                shown.append(None if blank else _digest(form.encode("utf-8", "surrogatepass")))
             at = coded.indices
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string()).take(at), pa.array(digest, pa.binary()).take(at), pa.array(own, pa.binary()).take(at)], names=[key, "form", "form_digest", "text_digest"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shown, pa.binary()).take(at), pa.array(own, pa.binary()).take(at)], names=[key, "form_digest", "text_digest"])
+
+    kind = source.schema[0].dataType.simpleString()
+    return source.mapInArrow(run, f"`{key}` {kind}, form_digest binary, text_digest binary")
+
+
+def _with_form(df: DataFrame, key: str, text: str, form) -> DataFrame:
+    """key and form; once per distinct value of a batch."""
+    source = df.select(F.col(key), F.col(text).alias("__text"))
+    table = shape_table()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = batch.column(1).dictionary_encode()
+            made = [form(value.decode("utf-8", "replace"), table) for value in coded.dictionary.cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string()).take(coded.indices)], names=[key, "form"])
 
     kind = source.schema[0].dataType.simpleString()
-    return source.mapInArrow(run, f"`{key}` {kind}, form string, form_digest binary, text_digest binary")
+    return source.mapInArrow(run, f"`{key}` {kind}, form string")
 
 
 def visible_form(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and ``form``: equal for texts that show the same; null for a null text."""
-    return _with_form(df, key, text, visible).select(key, "form")
+    return _with_form(df, key, text, visible)
 
 
 def comparison_form(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and ``form`` with case, raised digits and styled letters folded as well."""
-    return _with_form(df, key, text, comparable).select(key, "form")
+    return _with_form(df, key, text, comparable)
 
 
 def look_alike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -109,12 +127,14 @@ def look_alike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     Null, empty and blank texts (also those of invisible characters only) are in
     no pair; exact copies make no pair with each other, but each does with every
-    other spelling. Only 16-byte digests are shuffled. A form with one spelling
+    other spelling. Texts are
+    read and normalised once; from then on only 16-byte digests are kept and
+    shuffled. A form with one spelling
     leaves after a combined minimum and maximum, so a mass of exact copies meets
     nobody; the joins run over distinct spellings first and fan out to rows last.
     Two texts are taken as equal if their 128-bit digests are.
     """
-    shown = _with_form(df, key, text, visible).select(key, "form_digest", "text_digest").where("form_digest IS NOT NULL")
+    shown = cut_lineage(_digests(df, key, text).where("form_digest IS NOT NULL"))
     spellings = shown.groupBy("form_digest", "text_digest").agg(F.count(F.lit(1)).alias("rows"))
     several = spellings.groupBy("form_digest").agg(F.min("text_digest").alias("low"), F.max("text_digest").alias("high")).where("low < high").select("form_digest")
     kept = spellings.join(several, "form_digest", "left_semi").select("form_digest", "text_digest")
