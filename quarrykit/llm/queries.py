@@ -6,6 +6,7 @@ from quarrykit.llm.cooccur import pattern_tag_pairs
 from quarrykit.llm.lookalike import look_alike_pairs
 from quarrykit.llm.neardup import pattern_groups, pattern_pairs
 from quarrykit.llm.packing import pack_documents
+from quarrykit.llm.provenance import file_origins, not_hand_written
 from quarrykit.llm.secrets import corpus_credentials, corpus_redacted
 from quarrykit.llm.termfreq import pattern_terms
 from quarrykit.session import table
@@ -27,6 +28,14 @@ def p2_groups(spark, d):
     return pattern_groups(table(spark, d, "saved_pattern"))
 
 
+def p3_found(spark, d):
+    return not_hand_written(table(spark, d, "class_info"))
+
+
+def p3_origins(spark, d):
+    return file_origins(table(spark, d, "class_info"))
+
+
 def p4_found(spark, d):
     return pattern_terms(table(spark, d, "saved_pattern")).where("mark IS NOT NULL").select("field", "term", "mark")
 
@@ -55,7 +64,7 @@ def p8_found(spark, d):
     return look_alike_pairs(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_groups, p4_found, p4_terms, p5_found, p5_redacted, p6_ids, p7_containers, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_groups, p3_found, p3_origins, p4_found, p4_terms, p5_found, p5_redacted, p6_ids, p7_containers, p8_found)}
 
 CURRENT = """current_row AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS rn FROM saved_pattern) WHERE rn = 1
