@@ -1 +1 @@
-
+"""Reading source trees and knowledge-base documents."""
