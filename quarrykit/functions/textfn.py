@@ -12,6 +12,11 @@ TAG_STOP_WORDS = ["create", "make", "build", "write"]
 CODE_SIGNS = ["```", "class ", "function ", "public ", "export "]
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim_all(c: Column) -> Column:
     """Blanks of every kind off both ends: tabs, line ends, no-break spaces and byte order marks too."""
     return F.regexp_replace(c, r"(?U)^[\s﻿]+|[\s﻿]+$", "")

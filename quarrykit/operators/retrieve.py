@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrykit.functions.textfn import STOP_WORDS, keywords
+from quarrykit.functions.textfn import STOP_WORDS, keywords, let
 from quarrykit.operators.snippet import essential_snippet
 
 #: Gram sizes; a needle uses the greatest that is not longer than itself.
-GRAMS = (1, 2, 3, 6, 12)
+GRAMS = (1, 3, 12)
+KEYWORD_GRAMS = (3, 6)
 FIRST = 2
 #: Headings and closing words of a prompt, which its summary reads again.
 KB_HEADING = "Saved patterns from Knowledge Base:"
@@ -27,39 +28,41 @@ SUMMARY_NONE = "  • No patterns found\n  • Asking Copilot directly"
 
 
 def _grams(text: str, size: str) -> Column:
-    return F.expr(f"array_distinct(transform(sequence(1, greatest(length({text}) - {size} + 1, 1)), i -> substring({text}, i, {size})))")
+    """Hashes of the distinct grams of a text; two grams of one hash only add a candidate."""
+    return F.expr(f"array_distinct(transform(sequence(1, greatest(length({text}) - {size} + 1, 1)), i -> xxhash64(substring({text}, i, {size}), {size})))")
 
 
-def first_containing(needles: DataFrame, rows: DataFrame, order: str, texts: str, limit: int = FIRST) -> DataFrame:
+def first_containing(needles: DataFrame, rows: DataFrame, order: str, texts: str, limit: int = FIRST, grams: tuple[int, ...] = GRAMS) -> DataFrame:
     """(needle, places): for each distinct needle its first ``limit`` rows, by ``order``, that contain it.
 
     ``rows`` has ``order`` (unique) and ``texts``, an array of strings of which
-    one must contain the needle; ``needles`` has ``needle``. Exact for needles of
-    any length: a row can only contain a needle whose grams it has. The empty
-    needle is in every row that has a text. Null needles and texts match nothing.
-    Needles without a row are not in the result.
+    one must contain the needle; ``needles`` has ``needle``. Exact for needles
+    of at least the least gram size and for the empty one, which is in every
+    row that has a text; shorter needles are not looked up, so the sizes begin
+    at 1 unless the needles are known to be longer. A row can only contain a
+    needle whose grams it has, so a needle meets the rows of its rarest gram
+    only. Null needles and texts match nothing. Needles without a row are not in
+    the result.
     """
     needles = needles.select("needle").where("needle IS NOT NULL").distinct()
-    size = F.lit(GRAMS[0])
-    for g in GRAMS[1:]:
+    size = F.lit(grams[0])
+    for g in grams[1:]:
         size = F.when(F.length("needle") >= g, F.lit(g)).otherwise(size)
-    sized = needles.where("needle != ''").withColumn("size", size)
-    asked = sized.select("needle", "size", F.explode(_grams("needle", "size")).alias("gram"))
-    used = asked.select("gram", "size").distinct()
+    asked = needles.where(F.length("needle") >= grams[0]).withColumn("size", size).select("needle", F.explode(_grams("needle", "size")).alias("gram"))
     flat = rows.select(order, F.explode(F.filter(texts, lambda t: F.length(t) > 0)).alias("text"))
-    held = None
-    for g in GRAMS:
-        part = flat.where(F.length("text") >= g).select(order, "text", F.explode(_grams("text", str(g))).alias("gram"))
-        held = part if held is None else held.unionByName(part)
-    posted = held.join(used.select("gram"), "gram", "left_semi")
+    of_size = [F.when(F.length("text") >= g, _grams("text", str(g))).otherwise(F.array().cast("array<bigint>")) for g in grams]
+    held = flat.select(order, F.explode(F.concat(*of_size)).alias("gram")).distinct()
+    posted = held.join(asked.select("gram").distinct(), "gram", "left_semi")
     often = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    rarest = asked.join(often, "gram", "left").groupBy("needle").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("gram"))
-    hits = rarest.join(posted, "gram").where(F.col("text").contains(F.col("needle"))).select("needle", order)
-    # the first rows of a needle are combined before the shuffle by the window's group limit
-    once = hits.groupBy("needle", order).agg(F.lit(1).alias("one"))
-    ranked = once.withColumn("n", F.row_number().over(Window.partitionBy("needle").orderBy(order))).where(F.col("n") <= limit)
+    rarest = asked.join(often, "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("least")).where("least.df > 0").select("needle", "least.gram")
+    candidates = rarest.join(posted, "gram").select("needle", order)
+    hits = candidates.join(rows.select(order, texts), order).where(F.exists(texts, lambda t: F.coalesce(t.contains(F.col("needle")), F.lit(False)))).select("needle", order)
+    # the window's group limit keeps the first rows of a needle before the shuffle
+    ranked = hits.withColumn("n", F.row_number().over(Window.partitionBy("needle").orderBy(order))).where(F.col("n") <= limit)
     found = ranked.groupBy("needle").agg(F.array_sort(F.collect_list(order)).alias("places"))
-    first = rows.where(F.size(F.filter(texts, lambda t: t.isNotNull())) > 0).orderBy(order).limit(limit).agg(F.array_sort(F.collect_list(order)).alias("places"))
+    if grams[0] > 1:
+        return found
+    first = rows.where(F.size(F.filter(texts, lambda t: t.isNotNull())) > 0).select(order).orderBy(order).limit(limit).agg(F.array_sort(F.collect_list(order)).alias("places"))
     empty = needles.where("needle = ''").withColumn("places", first.scalar())
     return found.unionByName(empty)
 
@@ -74,7 +77,7 @@ def relevant_classes(questions: DataFrame, classes: DataFrame, key: str = "quest
     """
     asked = questions.select(key, F.explode(keywords(F.col(text), stop_words)).alias("needle"))
     hay = classes.select(order, F.array(F.lower("class_name"), F.lower("file_path")).alias("texts"))
-    by_text = first_containing(asked, hay, order, "texts", limit)
+    by_text = first_containing(asked, hay, order, "texts", limit, KEYWORD_GRAMS)
     ranked = classes.select("type", order).where("type IS NOT NULL").withColumn("n", F.row_number().over(Window.partitionBy("type").orderBy(order)))
     by_type = ranked.where(F.col("n") <= limit).groupBy("type").agg(F.collect_list(order).alias("places")).withColumnRenamed("type", "needle")
     places = by_text.unionByName(by_type)
@@ -123,16 +126,23 @@ def prompts(questions: DataFrame, classes: DataFrame, patterns: DataFrame, key:
     return every.select(key, F.when(has, full).otherwise(F.col(text)).alias("prompt"), has.alias("has_context"))
 
 
+def _bullets(section: Column, pattern: str) -> Column:
+    found = F.struct(F.regexp_extract_all(section, F.lit(pattern), F.lit(1)).alias("names"), F.regexp_extract_all(section, F.lit(pattern), F.lit(2)).alias("types"))
+    return let(found, lambda f: F.zip_with(f["names"], f["types"], lambda n, t: F.concat(F.lit("  • "), n, F.lit(" ("), t, F.lit(")"))))
+
+
 def summary(prompt: Column, shown: int = 3) -> Column:
     """The names and types that a finished prompt shows, as bullets; null for a null prompt."""
-    bullets = lambda section, pattern: F.zip_with(F.regexp_extract_all(section, F.lit(pattern), F.lit(1)), F.regexp_extract_all(section, F.lit(pattern), F.lit(2)), lambda n, t: F.concat(F.lit("  • "), n, F.lit(" ("), t, F.lit(")")))
     none = F.array().cast("array<string>")
-    parts = F.split(prompt, WORKSPACE_AFTER_KB, -1)
-    kb = F.when(prompt.contains(KB_HEADING), bullets(F.get(parts, F.lit(0)), r"\*\*(.+?)\*\* \((\w+)\):")).otherwise(none)
-    section = F.when(F.size(parts) > 1, F.get(parts, F.lit(1))).otherwise(prompt)
-    workspace = F.when(prompt.contains("workspace"), F.slice(bullets(section, r"\*\*(\w+)\*\* \((\w+)\):"), 1, shown)).otherwise(none)
-    lines = F.concat(
-        F.when(F.size(kb) > 0, F.concat(F.array(F.lit(SUMMARY_KB)), kb)).otherwise(none),
-        F.when(F.size(workspace) > 0, F.concat(F.array(F.lit(SUMMARY_WORKSPACE)), workspace)).otherwise(none),
-    )
-    return F.when(prompt.isNotNull(), F.when(F.size(lines) > 0, F.array_join(lines, "\n")).otherwise(SUMMARY_NONE))
+
+    def headed(heading: str, bullets: Column) -> Column:
+        return let(bullets, lambda b: F.when(F.size(b) > 0, F.concat(F.array(F.lit(heading)), b)).otherwise(none))
+
+    def lines(parts: Column) -> Column:
+        kb = F.when(prompt.contains(KB_HEADING), _bullets(F.get(parts, F.lit(0)), r"\*\*(.+?)\*\* \((\w+)\):")).otherwise(none)
+        section = F.when(F.size(parts) > 1, F.get(parts, F.lit(1))).otherwise(prompt)
+        workspace = F.when(prompt.contains("workspace"), F.slice(_bullets(section, r"\*\*(\w+)\*\* \((\w+)\):"), 1, shown)).otherwise(none)
+        return F.concat(headed(SUMMARY_KB, kb), headed(SUMMARY_WORKSPACE, workspace))
+
+    told = let(let(F.split(prompt, WORKSPACE_AFTER_KB, -1), lines), lambda x: F.when(F.size(x) > 0, F.array_join(x, "\n")).otherwise(SUMMARY_NONE))
+    return F.when(prompt.isNotNull(), told)
