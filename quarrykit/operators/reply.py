@@ -1,6 +1,10 @@
 """Replies: folding their fragments, and the forms and rows made of their code."""
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,3 +69,29 @@ def saved_row(query: Column, name: Column, description: Column, tags: Column, co
         "query": text(query),
         "tags": tag_list(text(tags), keep_empty_tags),
     }
+
+
+def unavailable(prompts: list[str]) -> list[str | None]:
+    """The offline model: it answers nothing."""
+    return [None] * len(prompts)
+
+
+def answered(prompts: DataFrame, model: Callable[[list[str]], list[str | None]] = unavailable, key: str = "question_id", text: str = "prompt") -> DataFrame:
+    """(key, response) of every prompt: what ``model`` makes of a batch, null where it fails or has nothing.
+
+    ``model`` runs in the workers on one batch of texts at a time; an exception
+    gives that batch nulls. A null prompt is not sent.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sent = batch[text].notna()
+            out = pd.Series([None] * len(batch), index=batch.index, dtype=object)
+            try:
+                out[sent] = model(batch.loc[sent, text].tolist())
+            except Exception:  # noqa: BLE001 - a failing model is an unavailable one
+                logging.getLogger(__name__).exception("the model failed on a batch")
+            yield pd.DataFrame({key: batch[key], "response": out})
+
+    kind = prompts.schema[key].dataType.simpleString()
+    return prompts.select(key, text).mapInPandas(run, f"`{key}` {kind}, response string")

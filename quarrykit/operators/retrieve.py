@@ -44,25 +44,26 @@ def first_containing(needles: DataFrame, rows: DataFrame, order: str, texts: str
     only. Null needles and texts match nothing. Needles without a row are not in
     the result.
     """
+    rows = rows.select(F.col(order).alias("place"), F.col(texts).alias("texts"))
     needles = needles.select("needle").where("needle IS NOT NULL").distinct()
     size = F.lit(grams[0])
     for g in grams[1:]:
         size = F.when(F.length("needle") >= g, F.lit(g)).otherwise(size)
     asked = needles.where(F.length("needle") >= grams[0]).withColumn("size", size).select("needle", F.explode(_grams("needle", "size")).alias("gram"))
-    flat = rows.select(order, F.explode(F.filter(texts, lambda t: F.length(t) > 0)).alias("text"))
+    flat = rows.select("place", F.explode(F.filter("texts", lambda t: F.length(t) > 0)).alias("text"))
     of_size = [F.when(F.length("text") >= g, _grams("text", str(g))).otherwise(F.array().cast("array<bigint>")) for g in grams]
-    held = flat.select(order, F.explode(F.concat(*of_size)).alias("gram")).distinct()
+    held = flat.select("place", F.explode(F.concat(*of_size)).alias("gram")).distinct()
     posted = held.join(asked.select("gram").distinct(), "gram", "left_semi")
     often = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     rarest = asked.join(often, "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("least")).where("least.df > 0").select("needle", "least.gram")
-    candidates = rarest.join(posted, "gram").select("needle", order)
-    hits = candidates.join(rows.select(order, texts), order).where(F.exists(texts, lambda t: F.coalesce(t.contains(F.col("needle")), F.lit(False)))).select("needle", order)
+    candidates = rarest.join(posted, "gram").select("needle", "place")
+    hits = candidates.join(rows, "place").where(F.exists("texts", lambda t: F.coalesce(t.contains(F.col("needle")), F.lit(False)))).select("needle", "place")
     # the window's group limit keeps the first rows of a needle before the shuffle
-    ranked = hits.withColumn("n", F.row_number().over(Window.partitionBy("needle").orderBy(order))).where(F.col("n") <= limit)
-    found = ranked.groupBy("needle").agg(F.array_sort(F.collect_list(order)).alias("places"))
+    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("needle").orderBy("place"))).where(F.col("rank") <= limit)
+    found = ranked.groupBy("needle").agg(F.array_sort(F.collect_list("place")).alias("places"))
     if grams[0] > 1:
         return found
-    first = rows.where(F.size(F.filter(texts, lambda t: t.isNotNull())) > 0).select(order).orderBy(order).limit(limit).agg(F.array_sort(F.collect_list(order)).alias("places"))
+    first = rows.where(F.size(F.filter("texts", lambda t: t.isNotNull())) > 0).select("place").orderBy("place").limit(limit).agg(F.array_sort(F.collect_list("place")).alias("places"))
     empty = needles.where("needle = ''").withColumn("places", first.scalar())
     return found.unionByName(empty)
 
@@ -76,13 +77,14 @@ def relevant_classes(questions: DataFrame, classes: DataFrame, key: str = "quest
     questions are looked up once.
     """
     asked = questions.select(key, F.explode(keywords(F.col(text), stop_words)).alias("needle"))
-    hay = classes.select(order, F.array(F.lower("class_name"), F.lower("file_path")).alias("texts"))
-    by_text = first_containing(asked, hay, order, "texts", limit, KEYWORD_GRAMS)
-    ranked = classes.select("type", order).where("type IS NOT NULL").withColumn("n", F.row_number().over(Window.partitionBy("type").orderBy(order)))
-    by_type = ranked.where(F.col("n") <= limit).groupBy("type").agg(F.collect_list(order).alias("places")).withColumnRenamed("type", "needle")
+    classes = classes.select(F.col(order).alias("place"), "class_name", "file_path", "type")
+    hay = classes.select("place", F.array(F.lower("class_name"), F.lower("file_path")).alias("texts"))
+    by_text = first_containing(asked, hay, "place", "texts", limit, KEYWORD_GRAMS)
+    ranked = classes.select("type", "place").where("type IS NOT NULL").withColumn("rank", F.row_number().over(Window.partitionBy("type").orderBy("place")))
+    by_type = ranked.where(F.col("rank") <= limit).groupBy("type").agg(F.collect_list("place").alias("places")).withColumnRenamed("type", "needle")
     places = by_text.unionByName(by_type)
     met = asked.join(places, "needle").select(key, F.explode("places").alias("place")).distinct()
-    ranked = met.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("place"))).where(F.col("n") <= limit)
+    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("place"))).where(F.col("rank") <= limit)
     return ranked.groupBy(key).agg(F.array_sort(F.collect_list("place")).alias("places"))
 
 
