@@ -88,8 +88,9 @@ def secret_value(value: bytes) -> bool:
         return not IDENTIFIER.match(value) or bool(re.search(rb"\d{2}|\d[a-z]", value))
     if re.search(rb"[^A-Za-z._/:-]", value):
         return True
-    humps = re.findall(rb"[A-Z]*[a-z]+|[A-Z]+", value)
-    return len(value) >= 8 and not IDENTIFIER.match(value) and len(value) < 3.2 * len(humps)
+    # letters only: in words capitals are few, in random letters they are about half
+    upper = len(re.findall(rb"[A-Z]", value))
+    return len(value) >= 8 and not IDENTIFIER.match(value) and 4 * upper >= len(value) and 4 * upper <= 3 * len(value)
 
 
 def _bare_value(value: bytes) -> bool:
