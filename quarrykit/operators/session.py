@@ -18,23 +18,45 @@ def delivered_once(events: DataFrame) -> DataFrame:
     return events.join(first, same, "left_semi").dropDuplicates(same)
 
 
-def carry_forward(events: DataFrame, value: Column, name: str, chunk: int = CHUNK_EVENTS) -> DataFrame:
+def _chunked(rows: DataFrame, chunk: int) -> DataFrame:
+    return rows.withColumn("__chunk", F.floor(F.col("__at") / chunk))
+
+
+def _last_before(rows: DataFrame, chunk: int, levels: int) -> DataFrame:
+    """(session_id, __at, __before): the last non-null ``__value`` of the session at a lesser ``__at``."""
+    order = Window.partitionBy("session_id").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    if levels == 0:
+        return rows.select("session_id", "__at", F.last("__value", ignorenulls=True).over(order).alias("__before"))
+    cut = _chunked(rows, chunk)
+    inside = Window.partitionBy("session_id", "__chunk").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    own = cut.select("session_id", "__at", "__chunk", F.last("__value", ignorenulls=True).over(inside).alias("__own"))
+    ends = cut.groupBy("session_id", F.col("__chunk").alias("__at")).agg(F.max_by("__value", F.when(F.col("__value").isNotNull(), F.col("__at"))).alias("__value"))
+    starts = _last_before(ends, chunk, levels - 1).withColumnRenamed("__at", "__chunk")
+    return own.join(starts, ["session_id", "__chunk"]).select("session_id", "__at", F.coalesce("__own", "__before").alias("__before"))
+
+
+def carry_forward(events: DataFrame, value: Column, name: str, chunk: int = CHUNK_EVENTS, levels: int = 2) -> DataFrame:
     """Each event with the last non-null ``value`` of its session up to and including it.
 
-    Sessions are cut into chunks of ``chunk`` consecutive ``seq``. Chunks are
-    worked on apart, so a session that holds a third of all events is spread
-    over many tasks; what a chunk starts with is the last value of the chunks
-    before it, found on one row per chunk. A session without a value so far has
-    null.
+    ``(session_id, seq)`` is unique. Sessions are cut into chunks of ``chunk``
+    consecutive ``seq``, and these into chunks again, ``levels`` times. Chunks
+    are worked on apart, so a session that holds a third of all events is spread
+    over many tasks; what a chunk starts with is found on one row per chunk. A
+    session without a value so far has null. Null sessions are left out.
     """
-    cut = events.withColumn("__chunk", F.floor(F.col("seq") / chunk)).withColumn("__value", value)
-    ends = cut.where("__value IS NOT NULL").groupBy("session_id", "__chunk").agg(F.max_by("__value", "seq").alias("__end"))
-    chunks = cut.groupBy("session_id", "__chunk").agg(F.count(F.lit(1)).alias("__n")).join(ends, ["session_id", "__chunk"], "left")
+    valued = events.where("session_id IS NOT NULL").withColumn("__value", value)
+    before = _last_before(valued.select("session_id", F.col("seq").alias("__at"), "__value"), chunk, levels)
+    joined = valued.join(before.withColumnRenamed("__at", "seq"), ["session_id", "seq"])
+    return joined.withColumn(name, F.coalesce("__value", "__before")).drop("__value", "__before")
+
+
+def numbered(rows: DataFrame, name: str = "n", chunk: int = CHUNK_EVENTS) -> DataFrame:
+    """Each row with its place, from 1, among its session's rows by ``seq``, counted chunk by chunk."""
+    cut = _chunked(rows.withColumn("__at", F.col("seq")), chunk)
     before = Window.partitionBy("session_id").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = chunks.select("session_id", "__chunk", F.last("__end", ignorenulls=True).over(before).alias("__start"))
-    inside = Window.partitionBy("session_id", "__chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    own = cut.withColumn("__own", F.last("__value", ignorenulls=True).over(inside))
-    return own.join(starts, ["session_id", "__chunk"]).withColumn(name, F.coalesce("__own", "__start")).drop("__chunk", "__value", "__own", "__start")
+    starts = cut.groupBy("session_id", "__chunk").agg(F.count(F.lit(1)).alias("__n")).select("session_id", "__chunk", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy("session_id", "__chunk").orderBy("seq"))
+    return cut.withColumn("__own", inside).join(starts, ["session_id", "__chunk"]).withColumn(name, F.col("__own") + F.col("__start")).drop("__at", "__chunk", "__own", "__start")
 
 
 def asked(message: Column) -> Column:

@@ -321,7 +321,9 @@ def stream_last_query(spark, d):
 @query
 def view_events(spark, d):
     """K4: what the view is told; the n-th request of a session answers its n-th question."""
-    asked = _questions(spark, d).select("session_id", "seq", F.row_number().over(Window.partitionBy("session_id").orderBy("seq")).alias("n"))
-    answers = _replies(spark, d).withColumn("n", F.row_number().over(Window.partitionBy("session_id").orderBy("request_id")))
+    asked = session.numbered(_questions(spark, d).select("session_id", "seq"))
+    requests = table(spark, d, "reply").select("session_id", "request_id").distinct()
+    places = requests.select("session_id", "request_id", F.row_number().over(Window.partitionBy("session_id").orderBy("request_id")).alias("n"))
+    answers = _replies(spark, d).join(places, ["session_id", "request_id"])
     matched = asked.join(answers, ["session_id", "n"]).select("session_id", "seq", "response")
     return session.view_events(table(spark, d, "chat_event"), matched)

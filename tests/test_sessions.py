@@ -1,6 +1,7 @@
 """Session state in batch and over a stream."""
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarrykit.operators import session
@@ -35,9 +36,15 @@ def test_last_question(spark):
     assert len(got) == len(WANT) and {(r.session_id, r.seq): r.last_query for r in got} == WANT
 
 
-def test_carry_forward_over_chunks(spark):
+def test_numbered(spark):
+    rows = spark.range(0, 300).select(F.lit("s").alias("session_id"), (F.col("id") * 3).alias("seq"))
+    assert all(r.n == r.seq // 3 + 1 for r in session.numbered(rows, chunk=7).collect())
+
+
+@pytest.mark.parametrize("levels", [0, 1, 2])
+def test_carry_forward_over_chunks(spark, levels):
     rows = spark.range(0, 500).select(F.lit("s").alias("session_id"), F.col("id").alias("seq"), F.when(F.col("id") % 37 == 5, F.col("id").cast("string")).alias("v"))
-    got = {r.seq: r.last for r in session.carry_forward(rows, F.col("v"), "last", chunk=10).collect()}
+    got = {r.seq: r.last for r in session.carry_forward(rows, F.col("v"), "last", chunk=10, levels=levels).collect()}
     want, last = {}, None
     for i in range(500):
         last = str(i) if i % 37 == 5 else last
