@@ -21,6 +21,8 @@ from quarrykit.session import cut_lineage
 WORD_BYTES = b"abcdefghijklmnopqrstuvwxyz0123456789_"
 #: Characters that are worked on at a time; a longer text is taken alone, and whole.
 CHUNK_BYTES = 1 << 19
+#: Bytes of a run's hash that are stored and compared when a pair is verified.
+RUN_BYTES = 6
 
 
 def _word_table() -> np.ndarray:
@@ -59,6 +61,19 @@ def shingle_sets(texts: list[bytes], words: int, hasher: SpanHash, table: np.nda
     return run, np.bincount(owned, minlength=len(texts))
 
 
+def pack(sets: np.ndarray) -> np.ndarray:
+    """The low RUN_BYTES bytes of each hash, row by row; little-endian as numpy has them here."""
+    return np.ascontiguousarray(sets.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :RUN_BYTES])
+
+
+def unpack(items: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The packed hashes of several sets in a row, and how many each has."""
+    whole = np.frombuffer(b"".join(items), np.uint8).reshape(-1, RUN_BYTES)
+    wide = np.zeros((len(whole), 8), np.uint8)
+    wide[:, :RUN_BYTES] = whole
+    return wide.view("<u8").ravel(), np.array([len(x) // RUN_BYTES for x in items], np.int64)
+
+
 def min_max(sets: np.ndarray, count: np.ndarray, permutations: int) -> np.ndarray:
     """Signature of each non-empty set: ``permutations`` minima and as many maxima."""
     begin = np.cumsum(count) - count
@@ -101,7 +116,9 @@ class NearDuplicates:
     1 - (1 - s^rows)^bands, 0.996 at the default bound of one half and above
     0.99999 from 0.7 on. Buckets of more than ``hot_bucket`` classes are not
     paired: their classes go through an exact prefix join on rare word runs.
-    Hashes of word runs and classes have 64 bits.
+    Word runs and classes are told apart by 64-bit hashes; of a run, 48 bits
+    travel to the verification, so two sets of n runs can be one run off with a
+    probability below n^2 / 2^48.
     """
 
     def __init__(self, records: DataFrame, key: str, text: str, words: int = 3, similarity: tuple[int, int] = (1, 2), bands: int = 42, rows: int = 3, hot_bucket: int = 512):
@@ -141,8 +158,8 @@ class NearDuplicates:
 
         def emit(keys, classes, sets, count, seen):
             new = [i for i, c in enumerate(classes.tolist()) if c not in seen and not seen.add(c)]
-            offsets = np.concatenate([[0], np.cumsum(count)])
-            yield pa.RecordBatch.from_arrays([pa.array(classes[new]), pa.array([sets[offsets[i] : offsets[i + 1]].tobytes() for i in new], pa.binary())], names=["class", "items"])
+            offsets, packed = np.concatenate([[0], np.cumsum(count)]), pack(sets)
+            yield pa.RecordBatch.from_arrays([pa.array(classes[new]), pa.array([packed[offsets[i] : offsets[i + 1]].tobytes() for i in new], pa.binary())], names=["class", "items"])
 
         return self._map(self.source, "class bigint, items binary", emit)
 
@@ -178,14 +195,13 @@ class NearDuplicates:
         """
         num, den = self.similarity
 
-        def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                items = batch.column(1).to_pylist()
-                n = np.array([len(x) // 8 for x in items], np.int64)
+                run, n = unpack(batch.column(1).to_pylist())
                 owner = np.repeat(np.asarray(batch.column(0)), n)
-                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.repeat(n, n)), pa.array(np.frombuffer(b"".join(items), np.int64))], names=["class", "n", "run"])
+                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.repeat(n, n)), pa.array(run.view(np.int64))], names=["class", "n", "run"])
 
-        runs = sets.select("class", "items").mapInArrow(unpack, "class bigint, n bigint, run bigint")
+        runs = sets.select("class", "items").mapInArrow(explode, "class bigint, n bigint, run bigint")
         common = runs.groupBy("run").agg(F.count(F.lit(1)).alias("df"))
         ranked = runs.join(common, "run").groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct("df", "run"))).alias("order"))
         length = F.col("n") - F.ceil(F.col("n") * num / den) + 1
@@ -213,15 +229,13 @@ class NearDuplicates:
                 keep = []
                 for at in range(0, batch.num_rows, 1024):
                     part = batch.slice(at, 1024)
-                    x, y = part.column(2).to_pylist(), part.column(3).to_pylist()
-                    nx = np.array([len(v) for v in x]) // 8
-                    ny = np.array([len(v) for v in y]) // 8
-                    pair = np.concatenate([np.repeat(np.arange(len(x)), nx), np.repeat(np.arange(len(y)), ny)])
-                    value = np.frombuffer(b"".join(x) + b"".join(y), np.uint64)
+                    (x, nx), (y, ny) = unpack(part.column(2).to_pylist()), unpack(part.column(3).to_pylist())
+                    pair = np.concatenate([np.repeat(np.arange(len(nx)), nx), np.repeat(np.arange(len(ny)), ny)])
+                    value = np.concatenate([x, y])
                     order = np.lexsort((value, pair))
                     pair, value = pair[order], value[order]
                     both_have = (pair[1:] == pair[:-1]) & (value[1:] == value[:-1])
-                    common = np.bincount(pair[1:][both_have], minlength=len(x))
+                    common = np.bincount(pair[1:][both_have], minlength=len(nx))
                     keep.append((common > 0) & (den * common >= num * (nx + ny - common)))
                 if keep:
                     yield batch.select(["a", "b"]).filter(pa.array(np.concatenate(keep)))
