@@ -181,6 +181,9 @@ class NearDuplicates:
 
         return self._map(self.source, "bucket bigint, class bigint", emit)
 
+    def _sets(self) -> DataFrame:
+        return self.class_sets().where("class IS NOT NULL").dropDuplicates(["class"])
+
     def _met(self, rows: DataFrame, on: str) -> DataFrame:
         a = rows.select(on, F.col("class").alias("a"))
         b = rows.select(on, F.col("class").alias("b"))
@@ -210,17 +213,18 @@ class NearDuplicates:
 
     def candidates(self) -> DataFrame:
         """Distinct class pairs (a < b) that share a bucket."""
-        rows = self.band_rows().repartition("bucket").dropDuplicates(["bucket", "class"])
+        # the filter makes the shuffle below the same for all that read it, so that it runs once
+        rows = self.band_rows().where("bucket IS NOT NULL AND class IS NOT NULL").repartition("bucket").dropDuplicates(["bucket", "class"])
         counted = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("n > 1")
         usual = self._met(counted.where(F.col("n") <= self.hot_bucket), "bucket")
         hot = counted.where(F.col("n") > self.hot_bucket).select("class").distinct()
-        sets = self.class_sets().dropDuplicates(["class"]).join(hot, "class", "left_semi")
+        sets = self._sets().join(hot, "class", "left_semi")
         return usual.unionByName(self._rare_prefixes(sets)).distinct()
 
     def class_pairs(self) -> DataFrame:
         """Verified class pairs (a < b)."""
         num, den = self.similarity
-        sets = self.class_sets().dropDuplicates(["class"])
+        sets = self._sets()
         left = self.candidates().join(sets.select(F.col("class").alias("a"), F.col("items").alias("x")), "a")
         both = left.join(sets.select(F.col("class").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
 
