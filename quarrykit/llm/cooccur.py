@@ -22,6 +22,8 @@ BLOCK_RECORDS = 65_536
 #: A record with more items than this is multiplied in dense item blocks.
 LONG_RECORD = 128
 ITEM_BLOCK = 1024
+#: Pairs of short records that are held at a time before they are counted.
+PAIRS = 1 << 21
 
 
 def terms(tags: Column) -> Column:
@@ -29,16 +31,27 @@ def terms(tags: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(tags, term), lambda x: x.isNotNull()))
 
 
-def _sparse(row: np.ndarray, item: np.ndarray, size: np.ndarray, width: int) -> list[np.ndarray]:
-    """Pair codes of the short records, taken by record length."""
-    codes = []
+def _sparse(item: np.ndarray, size: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pair codes and counts of the short records, taken by record length and at most PAIRS at a time."""
     begin = np.cumsum(size) - size
-    for k in np.unique(size):
-        at = begin[size == k]
-        matrix = np.sort(item[at[:, None] + np.arange(k)], axis=1)
+    for k in np.unique(size).tolist():
         left, right = np.triu_indices(k)
-        codes.append((matrix[:, left] * width + matrix[:, right]).ravel())
-    return codes
+        starts = begin[size == k]
+        step = max(1, PAIRS // len(left))
+        for part in range(0, len(starts), step):
+            matrix = np.sort(item[starts[part : part + step, None] + np.arange(k)], axis=1)
+            yield np.unique(matrix[:, left] * width + matrix[:, right], return_counts=True)
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The parts as one, each code once."""
+    if len(parts) < 2:
+        return parts
+    code, count = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    order = np.argsort(code, kind="stable")
+    code, count = code[order], count[order]
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    return [(code[first], np.add.reduceat(count, first))]
 
 
 def _dense(records: list[np.ndarray], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -86,10 +99,13 @@ def block_gram(records: pa.Array) -> Iterator[pa.RecordBatch]:
     short = size <= LONG_RECORD
     if short.any():
         keep = np.repeat(short, size)
-        codes = np.concatenate(_sparse(None, full[keep], size[short], width))
-        results.append(np.unique(codes, return_counts=True))
+        for part in _sparse(full[keep], size[short], width):
+            results.append(part)
+            if sum(len(x[0]) for x in results) > 4 * PAIRS:
+                results = _summed(results)
     for part in range(0, len(long), 1024):
         results.extend(_dense([full[begin[i] : begin[i] + size[i]] for i in long[part : part + 1024]], width))
+    results = _summed(results)
     words = pa.array(names, pa.string())
     for code, count in results:
         for at in range(0, len(code), 1 << 17):

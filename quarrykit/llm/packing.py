@@ -192,7 +192,7 @@ def fill_containers(lengths: DataFrame, budgets: DataFrame, key: str = "doc_id",
         sums = np.bincount(slot, weights=count, minlength=len(bounds)).astype(np.int64)
         rows, _ = plan(bounds[sums > 0], sums[sums > 0], capacity)
         rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-        tables[int(budget)] = (bounds, rows)
+        tables[int(budget)] = (bounds, rows, int(sums.max()) + 1)
         largest = max(largest, int(sums.max()))
     shared = spark.sparkContext.broadcast(tables)  # bounded by the capacities
 
@@ -200,7 +200,7 @@ def fill_containers(lengths: DataFrame, budgets: DataFrame, key: str = "doc_id",
     def bucket_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for budget, size in batches:
             out = np.zeros(len(size), np.int64)
-            for b, (bounds, _) in shared.value.items():
+            for b, (bounds, _, _) in shared.value.items():
                 own = ((budget == b) & (size > 0)).to_numpy()
                 out[own] = bounds[np.searchsorted(bounds, size.to_numpy()[own])]
             yield pd.Series(out)
@@ -209,13 +209,12 @@ def fill_containers(lengths: DataFrame, budgets: DataFrame, key: str = "doc_id",
     def container_of(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for budget, bucket, rank in batches:
             out = np.zeros(len(bucket), np.int64)
-            for b, (_, rows) in shared.value.items():
+            for b, (_, rows, step) in shared.value.items():
                 own = ((budget == b) & (bucket > 0)).to_numpy()
                 if own.any():
                     size, place = bucket.to_numpy()[own], rank.to_numpy()[own]
                     begin = np.searchsorted(rows[:, 0], size, side="left")
                     stop = np.searchsorted(rows[:, 0], size, side="right")
-                    step = np.int64(1) << np.int64(40)
                     joint = np.searchsorted(rows[:, 0] * step + rows[:, 1], size * step + place, side="right") - 1
                     row = rows[np.clip(joint, begin, stop - 1)]
                     out[own] = row[:, 2] + (place - row[:, 1]) // row[:, 3]
