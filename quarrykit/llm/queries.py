@@ -7,7 +7,7 @@ from quarrykit.llm.lookalike import look_alike_pairs
 from quarrykit.llm.neardup import pattern_groups, pattern_pairs
 from quarrykit.llm.packing import pack_documents
 from quarrykit.llm.provenance import file_origins, not_hand_written
-from quarrykit.llm.secrets import corpus_credentials, corpus_redacted
+from quarrykit.llm.secrets import corpus_credentials, corpus_keys, corpus_redacted
 from quarrykit.llm.termfreq import pattern_terms
 from quarrykit.session import table
 
@@ -48,6 +48,10 @@ def p5_found(spark, d):
     return corpus_credentials(table(spark, d, "class_info"), table(spark, d, "saved_pattern"))
 
 
+def p5_keys(spark, d):
+    return corpus_keys(table(spark, d, "class_info"), table(spark, d, "saved_pattern"))
+
+
 def p5_redacted(spark, d):
     return corpus_redacted(table(spark, d, "class_info"), table(spark, d, "saved_pattern"))
 
@@ -64,7 +68,7 @@ def p8_found(spark, d):
     return look_alike_pairs(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_groups, p3_found, p3_origins, p4_found, p4_terms, p5_found, p5_redacted, p6_ids, p7_containers, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_groups, p3_found, p3_origins, p4_found, p4_terms, p5_found, p5_keys, p5_redacted, p6_ids, p7_containers, p8_found)}
 
 CURRENT = """current_row AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS rn FROM saved_pattern) WHERE rn = 1

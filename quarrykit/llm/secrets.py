@@ -1,10 +1,12 @@
 """Problem 5: literal credentials in source and configuration text, and their redaction.
 
-Assignments, calls, map entries, escaped JSON, connection strings, placeholders
-with defaults and commented settings are read as key paths with the offsets of
-their values. A value counts if its key is a sensitive name and its shape is
-not that of a stand-in, reference or phrase, or if its shape alone gives it
-away. Redaction splices a mask over the value's characters only.
+Assignments, calls, map entries, nested and indented settings, elements, escaped
+JSON, connection strings, placeholders with defaults and commented settings are
+read as keys with the byte offsets of their values; ``key_paths`` gives the full
+path. A value counts if its key, or the key of the block it is the value of, is
+a sensitive name and its shape is not that of a stand-in, reference or phrase,
+or if its shape alone gives it away. Redaction splices a mask over the value's
+bytes only.
 """
 from __future__ import annotations
 
@@ -72,6 +74,22 @@ STAND_IN = re.compile(
 )
 HEADER_NAME = re.compile(rb"^[A-Z][A-Za-z0-9]*(?:-[A-Z][A-Za-z0-9]*)+$")
 IDENTIFIER = re.compile(rb"^[a-z][a-z0-9]*(?:[._-][a-z][a-z0-9]*)*$|^[A-Z][A-Z0-9]*(?:_[A-Z][A-Z0-9]*)*$")
+#: A setting that is an element: <password>value</password>.
+ELEMENT = re.compile(rb">[ \t]*([^<>\s]{5,})[ \t]*</")
+#: A setting named by one attribute and given by another.
+ATTRIBUTE = re.compile(rb"[\"']\s+(?:value|content)\s*=\s*(" + LITERAL + rb")")
+#: A setting whose value is a leaf of the block below its name, in brackets or by indentation.
+BLOCK = re.compile(rb"[\"'`]?\s*(?::|=>?)\s*\{([^{}]*)\}")
+INDENTED = re.compile(rb"[\"']?[ \t]*:[ \t]*(?P<scalar>[|>][+-]?)?[ \t]*\r?\n")
+#: What such a leaf is called.
+LEAF = re.compile(rb"[\"'`]?\b(?:value|default|plain(?:text)?|literal|raw)[\"'`]?[ \t]*(?::|=>?)[ \t]*(?:(?P<quoted>" + LITERAL + rb")|(?P<bare>[^\s\"'`,{}]+))")
+#: What key paths are read from: line starts, literals, names, brackets, separators and section headings.
+TOKEN = re.compile(
+    rb"(?P<section>^\[[\w. -]+\][ \t]*\r?$)|\n(?P<pad>[ \t]*)|(?P<text>" + LITERAL + rb")|(?P<name>[A-Za-z_$][\w$.-]*)|(?P<open>[\[({])|(?P<close>[\])}])|(?P<sep>[:=]+)|(?P<end>[,;])",
+    re.M | re.S,
+)
+INNER = re.compile(rb"([A-Za-z_][\w.-]*)(?:\\?[\"'])?\s*[:=]\s*(?:\\?[\"'])?$")
+TAG = re.compile(rb"^<([A-Za-z_][\w.:-]*)[^<>]*>[ \t]*$")
 MASK = b"*"
 NOT_LINE_END = re.compile(rb"[^\r\n]")
 
@@ -100,6 +118,105 @@ def _bare_value(value: bytes) -> bool:
     return bool(re.search(rb"[^\w.]", value)) or (bool(re.search(rb"\d", value)) and not re.fullmatch(rb"[A-Za-z]+\d?", value))
 
 
+def _nested_values(text: bytes, begin: int, end: int) -> Iterator[tuple[int, int]]:
+    """(start, stop) of the values that the block below a sensitive name holds, whatever format the block is in.
+
+    ``begin`` and ``end`` are those of the name's last part. A block is an
+    element, a pair of attributes, a bracketed map or the lines indented below
+    the name; of the latter two a leaf called ``value``, ``default`` or the like counts.
+    """
+    if m := ELEMENT.match(text, end) or ATTRIBUTE.match(text, end):
+        quoted = m.re is ATTRIBUTE
+        yield m.start(1) + quoted, m.end(1) - quoted
+    elif m := BLOCK.match(text, end):
+        for leaf in LEAF.finditer(text, m.start(1), m.end(1)):
+            if leaf.group("quoted"):
+                yield leaf.start("quoted") + 1, leaf.end("quoted") - 1
+    elif m := INDENTED.match(text, end):
+        line = text[text.rfind(b"\n", 0, begin) + 1 : begin]
+        base, at = len(line) - len(line.lstrip(b" \t")), m.end()
+        while at < len(text):
+            stop = text.find(b"\n", at)
+            stop = len(text) if stop < 0 else stop
+            body = text[at:stop].strip()
+            first = at + len(text[at:stop]) - len(text[at:stop].lstrip())
+            if body and first - at <= base:
+                return
+            if body and m.group("scalar"):
+                yield first, first + len(body)
+                return
+            if leaf := LEAF.match(text, first, stop):
+                quoted = leaf.lastgroup == "quoted"
+                yield leaf.start(leaf.lastgroup) + quoted, leaf.end(leaf.lastgroup) - quoted
+            at = stop + 1
+
+
+def key_paths(text: bytes, places: list[int]) -> dict[int, str]:
+    """The key path of each place in ``text``: the names of the blocks, sections and keys around it, joined by dots.
+
+    Blocks are brackets of any kind, indentation below a key and headings in
+    square brackets, so that maps, calls, classes and the usual configuration
+    formats are read alike. A place without a name around it has an empty path;
+    a literal that holds a place itself names nothing, so no path shows a value.
+    Inside a literal and of an element only a name within 120 bytes is read.
+    """
+    paths: dict[int, str] = {}
+    wanted = sorted(set(places), reverse=True)
+    scopes: list[tuple[int, bytes]] = []
+    name = key = b""
+    kind, typed, called = "", False, b""
+    indent = len(text) - len(text.lstrip(b" \t"))
+    for m in TOKEN.finditer(text):
+        hidden = False
+        while wanted and wanted[-1] < m.end():
+            place = wanted.pop()
+            hidden = hidden or place >= m.start()
+            parts = [part for _, part in scopes] + [key]
+            label = text[max(m.start() + 1, place - 120) : place] if m.lastgroup == "text" else b""
+            tag = text.rfind(b"<", max(0, place - 120), place)
+            if inner := INNER.search(label) or (TAG.search(text[tag:place]) if tag >= 0 else None):
+                parts.append(inner.group(1))
+            paths[place] = b".".join(part for part in parts if part).decode("utf-8", "replace")
+        if not wanted:
+            break
+        before, kind = kind, m.lastgroup
+        token = m.group(kind)
+        if kind == "section":
+            scopes, name, key = [(-1, token.strip()[1:-1])], b"", b""
+        elif kind == "pad":
+            if text[m.end() : m.end() + 1] not in (b"\r", b"\n", b""):
+                if before == "sep" and len(token) > indent:
+                    scopes.append((indent, key))
+                    key = b""
+                while scopes and scopes[-1][0] >= len(token):
+                    scopes.pop()
+                indent = len(token)
+            kind = before
+        elif kind == "name":
+            name = token
+        elif kind == "text":
+            called, name = (token[1:-1] if key == b"name" else called), b"" if hidden else token[1:-1]
+        elif kind == "open":
+            scopes.append((-2, (key if before == "sep" else name if before in ("name", "close") else b"")))
+            name = key = b""
+        elif kind == "close":
+            closed = (-2, b"")
+            while scopes and (closed := scopes.pop())[0] >= -1:
+                pass
+            name, key = closed[1] if token == b")" else b"", b""
+        elif kind == "sep":
+            attribute = called and name in (b"value", b"content")
+            key = called + b"." + name if attribute else key if token == b"=" and before == "name" and typed and not ANCHOR.search(name.lower()) else name
+            called = called if name == b"name" else b""
+        elif token == b"," and before == "text" and scopes and scopes[-1][0] == -2:
+            key = name
+        else:
+            key = b""
+        if kind in ("sep", "end", "open", "close", "section"):
+            typed = token == b":"
+    return {place: paths.get(place, "") for place in places}
+
+
 def find_credentials(text: bytes) -> list[tuple[int, int, int]]:
     """(place, start, stop) of each credential: where it begins, and the bytes to mask.
 
@@ -140,13 +257,16 @@ def find_credentials(text: bytes) -> list[tuple[int, int, int]]:
                 add(m.start(1), m.end(1))
     for anchor in ANCHOR.finditer(low):
         begin, end = anchor.start(), anchor.end()
-        follow = text[end : end + 1]
-        if follow == b"" or follow in b".)}>+*/?&|":
-            continue
         if end - begin == 4 and anchor.group() == b"pass":
             before = text[begin - 1 : begin]
             if not (text[begin : begin + 1] == b"P" and before.isalnum() and before.islower() or not before.isalnum()):
                 continue
+        for start, stop in _nested_values(text, begin, end):
+            if secret_value(text[start:stop]):
+                add(start, stop)
+        follow = text[end : end + 1]
+        if follow == b"" or follow in b".)}>+*/?&|":
+            continue
         m = VALUE.match(text, end)
         if m and (m.group("list") is None or m.group("key")):
             pieces = [(m.start("value") + 1, m.end("value") - 1)]
@@ -200,6 +320,32 @@ def redact(text: bytes) -> bytes:
     return b"".join([*parts, text[at:]])
 
 
+def credential_keys(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(row_key, line_no, key_path, start, n_bytes): each masked span with its key path and byte offset.
+
+    ``start`` counts bytes of UTF-8 from 0. The pieces of one literal and the
+    body of a key block are a row each. Null and empty texts have none.
+    """
+
+    def build(keys: pa.Array, texts: list[bytes | None]) -> pa.RecordBatch:
+        at, lines, paths, starts, sizes = [], [], [], [], []
+        for i, value in enumerate(texts):
+            found = find_credentials(value) if value else []
+            named = key_paths(value, [start for _, start, _ in found]) if found else {}
+            n, last = 1, 0
+            for _, start, stop in found:
+                n, last = n + value.count(b"\n", last, start), start
+                at.append(i)
+                lines.append(n)
+                paths.append(named[start])
+                starts.append(start)
+                sizes.append(stop - start)
+        columns = [keys.take(pa.array(at, pa.int64())), pa.array(lines, pa.int32()), pa.array(paths, pa.string()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["row_key", "line_no", "key_path", "start", "n_bytes"])
+
+    return _over_texts(df.where(F.col(text) != ""), key, text, "row_key bigint, line_no int, key_path string, start bigint, n_bytes bigint", build)
+
+
 def _over_texts(df: DataFrame, key: str, text: str, schema: str, build) -> DataFrame:
     source = df.select(F.col(key).cast("bigint").alias("row_key"), F.col(text).alias("__text"))
 
@@ -246,6 +392,12 @@ def redacted(df: DataFrame, key: str, text: str) -> DataFrame:
     return _over_texts(df, key, text, "row_key bigint, text string, n_masked int", build)
 
 
+def corpus_keys(class_info: DataFrame, saved_pattern: DataFrame) -> DataFrame:
+    """(tab, row_key, line_no, key_path, start, n_bytes) of every masked span of both tables."""
+    files = credential_keys(class_info, "pos", "content").withColumn("tab", F.lit("class_info"))
+    return files.unionByName(credential_keys(saved_pattern, "seq", "code").withColumn("tab", F.lit("saved_pattern")))
+
+
 def corpus_credentials(class_info: DataFrame, saved_pattern: DataFrame) -> DataFrame:
     """(tab, row_key, line_no) over the contents of scanned files and the code of saved patterns."""
     files = credential_rows(class_info, "pos", "content").select(F.lit("class_info").alias("tab"), "row_key", "line_no")
