@@ -315,7 +315,7 @@ def stream_last_query(spark, d):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-stream-")
     path = os.path.join(d, "chat_event.parquet")
-    return chat.run_to_end(chat.last_question_stream(chat.event_stream(spark, path, 1_000_000)), folder)
+    return chat.run_in_chunks(chat.event_stream(spark, path, 1_000_000), folder)
 
 
 @query

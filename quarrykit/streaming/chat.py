@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quarrykit.functions.textfn import trim_all
+from quarrykit.operators.session import carry_forward
 
 EVENT_SCHEMA = "session_id string, seq bigint, ts timestamp, arrived_at timestamp, type string, message string, name string, description string, tags string, code string"
 OUT_SCHEMA = "session_id string, seq bigint, type string, last_query string"
 STATE_SCHEMA = "last_query string, last_seq bigint"
+KEPT_SCHEMA = "session_id string, last_seq bigint, earlier string"
 
 
 def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 4) -> DataFrame:
@@ -45,18 +47,65 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     state.update((None if last is None or pd.isna(last) else last, seen))
 
 
+def _questions(events: DataFrame) -> DataFrame:
+    text = trim_all(F.col("message"))
+    question = F.when((F.col("type") == "sendMessage") & (F.length(text) > 0), text)
+    return events.where("session_id IS NOT NULL").select("session_id", "seq", "type", question.alias("question"))
+
+
 def last_question_stream(events: DataFrame) -> DataFrame:
     """Each event with its session's last question so far, as a stream.
 
     Within a trigger the events of a session are put in order of ``seq`` and a
     repeated delivery counts once; over triggers an event whose ``seq`` is not
     above the last one seen was delivered before or came too late, and is
-    dropped. A session's state is two values.
+    dropped. A session's state is two values. One task sorts what a trigger has
+    of a session, so the trigger's size must be bounded; ``advance_sessions``
+    has no such bound.
     """
-    text = trim_all(F.col("message"))
-    question = F.when((F.col("type") == "sendMessage") & (F.length(text) > 0), text)
-    slim = events.where("session_id IS NOT NULL").select("session_id", "seq", "type", question.alias("question"))
-    return slim.groupBy("session_id").applyInPandasWithState(_advance, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    return _questions(events).groupBy("session_id").applyInPandasWithState(_advance, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+
+
+def advance_sessions(batch: DataFrame, before: DataFrame) -> DataFrame:
+    """One trigger's events with the last question of their sessions; (session_id, seq, type, last_query).
+
+    ``before`` is what earlier triggers left: (session_id, last_seq, earlier),
+    one row per session. Sessions are worked on in chunks, so a session that
+    holds a third of a trigger is spread over many tasks. Repeated deliveries
+    count once, and events not above ``last_seq`` are dropped.
+    """
+    fresh = _questions(batch).dropDuplicates(["session_id", "seq"]).join(before, "session_id", "left").where("last_seq IS NULL OR seq > last_seq")
+    carried = carry_forward(fresh, F.col("question"), "own")
+    return carried.select("session_id", "seq", "type", F.coalesce("own", "earlier").alias("last_query"))
+
+
+def run_in_chunks(events: DataFrame, folder: str) -> DataFrame:
+    """The result of ``last_question_stream``, for triggers and sessions of any size.
+
+    Each trigger reads the sessions' state that the one before it wrote below
+    ``folder``, which all executors must share, and writes its events and the
+    next state. A trigger that is repeated after a loss overwrites what it
+    wrote, so each event counts once. The two latest states are kept.
+    """
+    spark = events.sparkSession
+    place = os.path.join(folder, f"stream-{uuid.uuid4().hex}")
+    spark.createDataFrame([], OUT_SCHEMA).write.parquet(f"{place}/out/batch=-1")
+    spark.createDataFrame([], KEPT_SCHEMA).write.parquet(f"{place}/sessions/-1")
+
+    def trigger(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        before = session.read.schema(KEPT_SCHEMA).parquet(f"{place}/sessions/{number - 1}")
+        advance_sessions(batch, before).write.mode("overwrite").parquet(f"{place}/out/batch={number}")
+        done = session.read.schema(OUT_SCHEMA).parquet(f"{place}/out/batch={number}")
+        ends = done.groupBy("session_id").agg(F.max("seq").alias("last_seq"), F.max_by("last_query", "seq").alias("earlier"))
+        after = ends.unionByName(before.join(ends, "session_id", "left_anti"))
+        after.write.mode("overwrite").parquet(f"{place}/sessions/{number}")
+        old = session._jvm.org.apache.hadoop.fs.Path(f"{place}/sessions/{number - 2}")
+        old.getFileSystem(session._jsc.hadoopConfiguration()).delete(old, True)
+
+    query = events.writeStream.foreachBatch(trigger).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(OUT_SCHEMA).parquet(f"{place}/out").select("session_id", "seq", "type", "last_query")
 
 
 def run_to_end(stream: DataFrame, folder: str) -> DataFrame:

@@ -81,3 +81,19 @@ def test_stream_over_two_triggers(spark, tmp_path):
     stream = chat.last_question_stream(chat.event_stream(spark, str(tmp_path / "in"), files_per_trigger=1))
     both = chat.run_to_end(stream, str(tmp_path)).collect()
     assert {(r.session_id, r.seq): r.last_query for r in both} == WANT and len(both) == len(WANT)
+
+
+def test_stream_in_chunks(spark, tmp_path):
+    rows = [("hot", n, "sendMessage" if n % 700 == 5 else "savePattern", f"q{n}", 0, None) for n in range(1, 4001)]
+    place = str(tmp_path / "in")
+    for low, high in ((1, 1500), (1400, 3000), (3001, 4001)):
+        part = [r for r in rows if low <= r[1] < high] + [r for r in ROWS if low <= r[1] < high] + [(None, low, "sendMessage", "x", 0, None)]
+        events(spark, part).coalesce(1).write.mode("append").parquet(place)
+        import time
+
+        time.sleep(1.1)
+    got = chat.run_in_chunks(chat.event_stream(spark, place, files_per_trigger=1), str(tmp_path)).collect()
+    want = {("hot", n): None if n < 5 else f"q{(n - 5) // 700 * 700 + 5}" for n in range(1, 4001) if n != 3000} | WANT
+    assert {(r.session_id, r.seq): r.last_query for r in got} == want and len(got) == len(want)
+    (tmp_path / "none").mkdir()
+    assert chat.run_in_chunks(chat.event_stream(spark, str(tmp_path / "none")), str(tmp_path)).collect() == []
