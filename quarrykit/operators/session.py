@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarrykit.functions.textfn import contains_code, trim_all
 from quarrykit.operators.reply import saved_row
+from quarrykit.session import cut_lineage
 
 #: Events of one chunk; a long session is carried forward chunk by chunk.
 CHUNK_EVENTS = 1_000
@@ -59,6 +60,24 @@ def numbered(rows: DataFrame, name: str = "n", chunk: int = CHUNK_EVENTS) -> Dat
     return cut.withColumn("__own", inside).join(starts, ["session_id", "__chunk"]).withColumn(name, F.col("__own") + F.col("__start")).drop("__at", "__chunk", "__own", "__start")
 
 
+def numbered_by(rows: DataFrame, order: str, name: str = "n") -> DataFrame:
+    """Each row with its place, from 1, among its session's rows by ``order``, whatever type that has.
+
+    ``(session_id, order)`` is unique. Rows are put in ranges of session and
+    order, so a session of any size lies over many tasks; a range is numbered
+    from the count of the session's rows in the ranges before it. The ranges are
+    written once, so that a lost task cannot move their bounds. Rows of a null
+    session are numbered among themselves.
+    """
+    cut = cut_lineage(rows.repartitionByRange("session_id", order).withColumn("__chunk", F.spark_partition_id()))
+    before = Window.partitionBy("session_id").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    counts = cut.groupBy("session_id", "__chunk").agg(F.count(F.lit(1)).alias("__n"))
+    starts = counts.select(F.col("session_id").alias("__session"), F.col("__chunk").alias("__range"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    own = cut.withColumn("__own", F.row_number().over(Window.partitionBy("session_id", "__chunk").orderBy(order)))
+    met = own.join(starts, F.col("session_id").eqNullSafe(F.col("__session")) & (F.col("__chunk") == F.col("__range")))
+    return met.withColumn(name, F.col("__own") + F.col("__start")).drop("__session", "__range", "__start", "__chunk", "__own")
+
+
 def asked(message: Column) -> Column:
     """The trimmed message, null for a blank one, which is not sent."""
     text = trim_all(message)

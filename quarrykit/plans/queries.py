@@ -4,7 +4,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrykit.functions import classify as C
@@ -323,7 +323,7 @@ def view_events(spark, d):
     """K4: what the view is told; the n-th request of a session answers its n-th question."""
     asked = session.numbered(_questions(spark, d).select("session_id", "seq"))
     requests = table(spark, d, "reply").select("session_id", "request_id").distinct()
-    places = requests.select("session_id", "request_id", F.row_number().over(Window.partitionBy("session_id").orderBy("request_id")).alias("n"))
+    places = session.numbered_by(requests, "request_id")
     answers = _replies(spark, d).join(places, ["session_id", "request_id"])
     matched = asked.join(answers, ["session_id", "n"]).select("session_id", "seq", "response")
     return session.view_events(table(spark, d, "chat_event"), matched)

@@ -97,3 +97,11 @@ def test_stream_in_chunks(spark, tmp_path):
     assert {(r.session_id, r.seq): r.last_query for r in got} == want and len(got) == len(want)
     (tmp_path / "none").mkdir()
     assert chat.run_in_chunks(chat.event_stream(spark, str(tmp_path / "none")), str(tmp_path)).collect() == []
+
+
+def test_numbered_by(spark):
+    rows = [("hot", f"r{i:04d}") for i in range(3000)] + [("b", "x"), (None, "y"), (None, "z"), ("b", None)]
+    df = spark.createDataFrame(rows, "session_id string, request_id string").selectExpr("*", "7 as __n").repartition(5)
+    got = {(r.session_id, r.request_id): r.n for r in session.numbered_by(df, "request_id").collect()}
+    assert got == {**{("hot", f"r{i:04d}"): i + 1 for i in range(3000)}, ("b", None): 1, ("b", "x"): 2, (None, "y"): 1, (None, "z"): 2}
+    assert session.numbered_by(df.limit(0), "request_id").collect() == []
