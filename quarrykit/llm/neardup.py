@@ -2,8 +2,9 @@
 
 Min-max hashing: for each permutation both the least and the greatest hash of a
 record's shingles are kept, so one evaluation gives two signature values. Bands
-of these values bring likely pairs together; the pairs are then verified on the
-exact shingle sets.
+of these values, each of different permutations, bring likely pairs together,
+and small sets are joined exactly; the pairs are then verified on the exact
+shingle sets.
 """
 from __future__ import annotations
 
@@ -75,13 +76,17 @@ def unpack(items: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def min_max(sets: np.ndarray, count: np.ndarray, permutations: int) -> np.ndarray:
-    """Signature of each non-empty set: ``permutations`` minima and as many maxima."""
+    """Signature of each non-empty set: ``permutations`` minima, then as many maxima.
+
+    Minimum and maximum of one permutation are not independent, so they stand
+    apart: up to ``permutations`` consecutive values are of different permutations.
+    """
     begin = np.cumsum(count) - count
     out = np.empty((len(count), 2 * permutations), np.uint64)
     for p in range(permutations):
         h = mix(sets ^ np.uint64((p + 1) * 0xA24BAED4963EE407 & (1 << 64) - 1))
-        out[:, 2 * p] = np.minimum.reduceat(h, begin)
-        out[:, 2 * p + 1] = np.maximum.reduceat(h, begin)
+        out[:, p] = np.minimum.reduceat(h, begin)
+        out[:, permutations + p] = np.maximum.reduceat(h, begin)
     return out
 
 
@@ -112,18 +117,20 @@ class NearDuplicates:
 
     Records with the same set are one class; classes, not records, are banded
     and verified, so a mass of copies costs one row per task. ``bands`` bands of
-    ``rows`` signature values find a pair of similarity s with probability
-    1 - (1 - s^rows)^bands, 0.996 at the default bound of one half and above
-    0.99999 from 0.7 on. Buckets of more than ``hot_bucket`` classes are not
-    paired: their classes go through an exact prefix join on rare word runs.
+    ``rows`` signature values of different permutations find a pair of
+    similarity s with a probability of at least 1 - (1 - s^rows)^bands, whatever
+    the sizes: 0.996 at the default bound of one half and above 0.99999 from 0.7
+    on. Classes of at most ``few_runs`` runs also go through an exact prefix join
+    on rare word runs, so that pairs of them are never lost. Buckets of more than
+    ``hot_bucket`` classes are not paired: their classes go through that join too.
     Word runs and classes are told apart by 64-bit hashes; of a run, 48 bits
     travel to the verification, so two sets of n runs can be one run off with a
     probability below n^2 / 2^48.
     """
 
-    def __init__(self, records: DataFrame, key: str, text: str, words: int = 3, similarity: tuple[int, int] = (1, 2), bands: int = 42, rows: int = 3, hot_bucket: int = 512):
+    def __init__(self, records: DataFrame, key: str, text: str, words: int = 3, similarity: tuple[int, int] = (1, 2), bands: int = 42, rows: int = 3, hot_bucket: int = 512, few_runs: int = 16):
         self.key, self.words, self.similarity, self.hot_bucket = key, words, similarity, hot_bucket
-        self.bands, self.rows = bands, rows
+        self.bands, self.rows, self.few_runs = bands, rows, few_runs
         self.source = records.select(F.col(key).alias("key"), F.lower(F.col(text)).alias("text")).where("text IS NOT NULL")
 
     def _map(self, source: DataFrame, schema: str, emit) -> DataFrame:
@@ -166,7 +173,7 @@ class NearDuplicates:
     def band_rows(self) -> DataFrame:
         """(bucket, class): ``bands`` rows for each class, once per task."""
         bands, rows = self.bands, self.rows
-        permutations = -(-bands * rows // 2)
+        permutations = max(-(-bands * rows // 2), rows)
 
         def emit(keys, classes, sets, count, seen):
             new = np.array([c not in seen and not seen.add(c) for c in classes.tolist()])
@@ -212,13 +219,13 @@ class NearDuplicates:
         return self._met(prefix, "run")
 
     def candidates(self) -> DataFrame:
-        """Distinct class pairs (a < b) that share a bucket."""
+        """Distinct class pairs (a < b) that share a bucket or, both small or from hot buckets, a rare run."""
         # the filter makes the shuffle below the same for all that read it, so that it runs once
         rows = self.band_rows().where("bucket IS NOT NULL AND class IS NOT NULL").repartition("bucket").dropDuplicates(["bucket", "class"])
         counted = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("n > 1")
         usual = self._met(counted.where(F.col("n") <= self.hot_bucket), "bucket")
-        hot = counted.where(F.col("n") > self.hot_bucket).select("class").distinct()
-        sets = self._sets().join(hot, "class", "left_semi")
+        hot = counted.where(F.col("n") > self.hot_bucket).select("class").distinct().withColumn("hot", F.lit(True))
+        sets = self._sets().join(hot, "class", "left").where((F.length("items") <= self.few_runs * RUN_BYTES) | F.col("hot"))
         return usual.unionByName(self._rare_prefixes(sets)).distinct()
 
     def class_pairs(self) -> DataFrame:

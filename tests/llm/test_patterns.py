@@ -97,6 +97,24 @@ def test_near_duplicates(spark, hot):
     assert len(got) == len(set(got)) and set(got) == brute(rows)
 
 
+def few_run_pairs(n):
+    """n pairs each of sets of word runs with 1/2, 2/4 and 3/6 runs in common, no word used twice."""
+    rows = []
+    for i, common in itertools.product(range(n), (1, 2, 3)):
+        words = [f"p{i}c{common}w{j}" for j in range(2 * common + 2)]
+        rows += [(len(rows), " ".join(words[: common + 2])), (len(rows) + 1, " ".join(words))]
+    return rows
+
+
+@pytest.mark.parametrize("few,least", [(16, 1.0), (0, 0.99)])
+def test_pairs_of_few_runs(spark, few, least):
+    rows = few_run_pairs(150)
+    want = {(key, key + 1) for key, _ in rows[::2]}
+    found = neardup.NearDuplicates(spark.createDataFrame(rows, "key bigint, text string"), "key", "text", few_runs=few)
+    got = {(r.key_a, r.key_b) for r in found.pairs().collect()}
+    assert got <= want and len(got) >= least * len(want)
+
+
 def test_other_similarity(spark):
     rows = list(enumerate(texts(9)))
     df = spark.createDataFrame(rows, "key bigint, text string")
