@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrykit.functions.classify import code_blocks
 from quarrykit.functions.textfn import contains_code, trim_all
 from quarrykit.operators.reply import saved_row
 from quarrykit.session import cut_lineage
@@ -107,7 +108,7 @@ def view_events(events: DataFrame, replies: DataFrame) -> DataFrame:
     shown if there is one (else a notice), the save button is offered if the
     reply holds code, and typing stops. ``replies`` has session_id, seq and
     response. A confirmed form gives a notice and hides form and button; a
-    cancelled one hides the form.
+    cancelled one hides the form. Requests to save are told by ``save_events``.
     """
     once = delivered_once(events).select("session_id", "seq", "type", "message", "name")
     joined = once.join(replies.select("session_id", "seq", "response"), ["session_id", "seq"], "left")
@@ -121,3 +122,22 @@ def view_events(events: DataFrame, replies: DataFrame) -> DataFrame:
         .otherwise(F.array().cast("array<string>"))
     )
     return joined.select("session_id", "seq", F.posexplode(told).alias("step", "type"))
+
+
+def save_events(events: DataFrame, replies: DataFrame) -> DataFrame:
+    """(session_id, seq, step, type): what the view is told after each request to save.
+
+    The form is shown if the reply to the session's last question holds a code
+    block; without a question, a reply, text or a block there is a notice. A new
+    question puts the reply before it out of reach, also if it has none itself.
+    ``replies`` is as for ``view_events``.
+    """
+    once = delivered_once(events).where("type IN ('sendMessage', 'savePattern')").select("session_id", "seq", "type", "message")
+    held = replies.select("session_id", "seq", (F.size(code_blocks(F.col("response"))) > 0).alias("held"))
+    joined = once.join(held, ["session_id", "seq"], "left")
+    sent = (F.col("type") == "sendMessage") & asked(F.col("message")).isNotNull()
+    offered = F.when(sent, F.when(F.col("held"), "showSaveForm").otherwise("addMessage"))
+    # the outcome travels on, not the reply; it is read several times below
+    outcome = cut_lineage(joined.select("session_id", "seq", "type", offered.alias("offered")))
+    state = carry_forward(outcome, F.col("offered"), "told")
+    return state.where("type = 'savePattern'").select("session_id", "seq", F.lit(0).alias("step"), F.coalesce("told", F.lit("addMessage")).alias("type"))

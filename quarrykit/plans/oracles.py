@@ -178,4 +178,10 @@ ORACLES = {
    WHEN o.type = 'cancelSave' THEN ['hideSaveForm'] ELSE [] END AS told
    FROM once o LEFT JOIN a ON a.session_id = o.session_id AND a.seq = o.seq LEFT JOIN b ON b.session_id = a.session_id AND b.n = a.n)
  SELECT session_id, seq, i - 1 AS step, told[i] AS type FROM (SELECT session_id, seq, told, unnest(range(1, len(told) + 1)) AS i FROM e)""",
+    "view_save_events": f"""WITH {QUESTION}, {REPLY}, a AS (SELECT session_id, seq, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS n FROM question),
+ b AS (SELECT session_id, response, row_number() OVER (PARTITION BY session_id ORDER BY request_id) AS n FROM folded),
+ e AS (SELECT o.session_id, o.seq, o.type AS kind, CASE WHEN a.seq IS NOT NULL THEN coalesce(len({CODE_BLOCKS.format('b.response')}), 0) END AS blocks
+   FROM once o LEFT JOIN a ON a.session_id = o.session_id AND a.seq = o.seq LEFT JOIN b ON b.session_id = a.session_id AND b.n = a.n),
+ f AS (SELECT session_id, seq, kind, last_value(blocks IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq) AS blocks FROM e)
+ SELECT session_id, seq, 0 AS step, CASE WHEN blocks > 0 THEN 'showSaveForm' ELSE 'addMessage' END AS type FROM f WHERE kind = 'savePattern'""",
 }

@@ -70,6 +70,19 @@ def test_view_events(spark):
     }
 
 
+def test_save_events(spark):
+    block = "text\n```java\nclass A {}\n```"
+    rows = [
+        ("a", 1, "savePattern", None, 0, None), ("a", 2, "sendMessage", "q", 0, None), ("a", 3, "savePattern", None, 0, None), ("a", 3, "savePattern", None, 9, None),
+        ("a", 4, "sendMessage", " ", 0, None), ("a", 2500, "savePattern", None, 0, None), ("a", 2501, "sendMessage", "unanswered", 0, None), ("a", 2502, "savePattern", None, 0, None),
+        ("b", 1, "sendMessage", "q", 0, None), ("b", 2, "savePattern", None, 0, None), ("c", 1, "sendMessage", "q", 0, None), ("c", 2, "savePattern", None, 0, None),
+    ]
+    replies = spark.createDataFrame([("a", 2, block), ("b", 1, "public class without a block"), ("c", 1, "")], "session_id string, seq bigint, response string")
+    got = sorted(map(tuple, session.save_events(events(spark, rows), replies).collect()))
+    form, notice = "showSaveForm", "addMessage"
+    assert got == [("a", 1, 0, notice), ("a", 3, 0, form), ("a", 2500, 0, form), ("a", 2502, 0, notice), ("b", 2, 0, notice), ("c", 2, 0, notice)]
+
+
 def test_stream_over_two_triggers(spark, tmp_path):
     events(spark, [r for r in ROWS if r[1] < 4]).coalesce(1).write.parquet(str(tmp_path / "in"))
     first = chat.run_to_end(chat.last_question_stream(chat.event_stream(spark, str(tmp_path / "in"))), str(tmp_path)).collect()
