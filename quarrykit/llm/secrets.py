@@ -90,15 +90,24 @@ TOKEN = re.compile(
 )
 INNER = re.compile(rb"([A-Za-z_][\w.-]*)(?:\\?[\"'])?\s*[:=]\s*(?:\\?[\"'])?$")
 TAG = re.compile(rb"^<([A-Za-z_][\w.:-]*)[^<>]*>[ \t]*$")
+#: What stands between the names of a path, and what such a name consists of; a random string has lone lower-case letters.
+PATH_BREAK = re.compile(rb"[/._~@%#&-]+")
+PATH_NAME = re.compile(rb"[a-z0-9]*|[A-Z0-9]+|(?:v\d++|[A-Z]?[a-z]{2,}+|[A-Z]{1,4}+|\d++)+")
+PATTERN_SIGN = re.compile(rb"[\\^$(){}\[\]|*?<>:]")
 MASK = b"*"
 NOT_LINE_END = re.compile(rb"[^\r\n]")
 
 
+def _is_path(value: bytes) -> bool:
+    """Whether a value that begins with a slash is a path, route or pattern rather than base64 or a password."""
+    return bool(PATTERN_SIGN.search(value)) or all(PATH_NAME.fullmatch(part) for part in PATH_BREAK.split(value))
+
+
 def secret_value(value: bytes) -> bool:
     """Whether a value under a sensitive name is a credential rather than a stand-in, reference or phrase."""
     if len(value) < 5 or len(set(value)) < 4 or re.search(rb"\s", value) or STAND_IN.search(value) or HEADER_NAME.match(value):
         return False
-    if b"://" in value or value.startswith((b"data:", b"sha256-", b"sha384-", b"sha512-", b"./", b"../", b"/")):
+    if b"://" in value or value.startswith((b"data:", b"sha256-", b"sha384-", b"sha512-", b"./", b"../")) or (value.startswith(b"/") and _is_path(value)):
         return False
     if re.search(rb"\$\{|#\{|\{\{|%[sdv]\b|\{\d*\}", value):
         return False

@@ -37,6 +37,17 @@ def test_found(text):
     assert secrets.credential_lines(text.encode()) == FOUND[text]
 
 
+@pytest.mark.parametrize("value", ["/9eMk0uSL8gRFoJEU6W3/0b/6ho=", "/k3Lq9ZtVbW1x8Pn", "/uWxQzLpKdGhTbNcYe+a", "//8aZq0LmW7yT=="])
+def test_values_that_begin_with_a_slash(value):
+    text = f'send("a", pwd="{value}");'.encode()
+    assert secrets.redact(text) == text.replace(value.encode(), b"*" * len(value))
+
+
+@pytest.mark.parametrize("value", ["/run/secrets/db_password", "/api/v2/getUserToken", "/etc/ssl/HTTPServer2.pem", "/reset?page=a1B2c3", "/users/:id/apiKey9", "/^[a-z]{8}$/", "/Users/ann/.ssh/id_rsa", "/opt/app-1.2.3/conf"])
+def test_paths_are_clear(value):
+    assert secrets.find_credentials(f'send("a", pwd="{value}");'.encode()) == []
+
+
 @pytest.mark.parametrize("text", CLEAR)
 def test_clear(text):
     assert secrets.credential_lines(text.encode()) == []
