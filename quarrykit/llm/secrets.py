@@ -63,6 +63,13 @@ PIECE = re.compile(rb"\s*(?:\+|\.\s(?=[\"'`])|\\\n)\s*(" + LITERAL + rb")", re.S
 ESCAPED = re.compile(rb"\\([\"'])\s*:\s*\\\1((?:[^\"'\\]|\\(?![\"']).)+?)\\\1")
 DEFAULT = re.compile(rb"\s*:-?([^}\"'\s]{4,})\}")
 UNQUOTED = re.compile(rb"[ \t]*([:=])[ \t]*([^\s\"'`,;)<>&]{4,})")
+#: A line that is nothing but a name, a separator and a value without quotes, and perhaps a comment.
+SETTING = re.compile(rb"(?P<gap>[ \t]*)[:=](?P<next>[ \t]*)(?P<value>[^\s\"'`=:>,;][^\s]*)(?=[ \t]*\r?(?:\n|\Z)|[ \t]+(?:#|//|--|;))")
+#: What code, rather than a setting, has for a value: a name or type, a call or list, the open end of an expression.
+REFERENCE = re.compile(rb"[A-Za-z_]+\d{0,3}(?:[A-Z_.][A-Za-z_.]*\d{0,3})*")
+CALL = re.compile(rb"[&*!]*[A-Za-z_]?[\w.]*[(\[{]")
+OPEN_END = re.compile(rb"[,;(\[{)}\]|&+\\\"'`]$")
+SIGN_INSIDE = re.compile(rb"\d|\w[!@#$%^~]+\w")
 AFTER_KEY_ID = re.compile(rb"[\"'`]?[\s,;)+]{0,12}(?:[^\n\"'`]*\n)?[^\n\"'`]*(" + LITERAL + rb")")
 COMMENT = re.compile(rb"(?<!:)//|#|^\s*\*|/\*|--|<!--")
 LEADING = re.compile(rb"^\s*(?:export\s+|-\s+)?$")
@@ -127,6 +134,21 @@ def _bare_value(value: bytes) -> bool:
     return bool(re.search(rb"[^\w.]", value)) or (bool(re.search(rb"\d", value)) and not re.fullmatch(rb"[A-Za-z]+\d?", value))
 
 
+def _setting_value(value: bytes, tight: bool) -> bool:
+    """The test for the value of a line that is a setting and no more; ``tight`` if no blank stands around its ``=``.
+
+    The quoted minimum of five bytes holds. Brackets, commas and the like may be
+    part of the value; what may as well be a reference, type or call is left out.
+    """
+    if not secret_value(value) or OPEN_END.search(value) or not SIGN_INSIDE.search(value) or b"$(" in value:
+        return False
+    if CALL.match(value) and all(value.count(pair[:1]) == value.count(pair[1:]) for pair in (b"()", b"[]", b"{}")):
+        return False
+    if re.fullmatch(rb"[A-Za-z]+\d?" if tight else REFERENCE, value):
+        return False
+    return not re.fullmatch(rb"[A-Za-z_]\w*(?:\??\.[A-Za-z_]\w*)+!?", value)
+
+
 def _nested_values(text: bytes, begin: int, end: int) -> Iterator[tuple[int, int]]:
     """(start, stop) of the values that the block below a sensitive name holds, whatever format the block is in.
 
@@ -291,13 +313,19 @@ def find_credentials(text: bytes) -> list[tuple[int, int, int]]:
             m = pattern.match(text, end)
             if m and secret_value(m.group(group)) and (pattern is ESCAPED or b"${" in text[max(0, begin - 200) : begin]):
                 add(m.start(group), m.end(group))
-        m = UNQUOTED.match(text, end)
-        if m and _bare_value(m.group(2)):
+        m, setting = UNQUOTED.match(text, end), SETTING.match(text, end)
+        bare = m and _bare_value(m.group(2))
+        if setting and not _setting_value(setting.group("value"), text[setting.end("gap") : setting.start("value")] == b"=" and not setting.group("gap")):
+            setting = None
+        if bare or setting:
             line = text.rfind(b"\n", 0, begin) + 1
             name = begin
             while name > line and (text[name - 1 : name].isalnum() or text[name - 1 : name] in b"_.$-"):
                 name -= 1
             prefix, edge = text[line:name], text[name - 1 : name]
+            if setting and LEADING.match(prefix):
+                add(setting.start("value"), setting.end("value"))
+        if bare:
             whole = text[m.end() : m.end() + 2].lstrip(b"\r")[:1] in (b"", b"\n")
             if COMMENT.search(prefix) or (m.group(1) == b"=" and edge and edge in b";?&\"'`") or (LEADING.match(prefix) and whole and len(m.group(2)) >= 12):
                 add(m.start(2), m.end(2))

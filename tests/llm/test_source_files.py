@@ -37,6 +37,30 @@ def test_found(text):
     assert secrets.credential_lines(text.encode()) == FOUND[text]
 
 
+@pytest.mark.parametrize(
+    "line, value",
+    [
+        ("DB_PASSWORD=S3cr3t!9", "S3cr3t!9"), ("password: hunter2x9", "hunter2x9"), ("export API_TOKEN=hunter42", "hunter42"), ("  - smtp_password: k9!Qz  # till May", "k9!Qz"),
+        ("db.password = aB3)xy9,k<2&'z", "aB3)xy9,k<2&'z"), ("mail.pwd=P@ss!word\r", "P@ss!word"), ("secret: Zk3;mm9>Qp1aa77", "Zk3;mm9>Qp1aa77"), ("db.pwd=p(9x!a", "p(9x!a"),
+    ],
+)
+def test_settings_without_quotes(line, value):
+    for before, after in (("", ""), ("a: 1\n", "\nb: 2\n")):
+        text = (before + line + after).encode()
+        assert secrets.redact(text) == text.replace(value.encode(), b"*" * len(value))
+
+
+@pytest.mark.parametrize(
+    "line",
+    [
+        "token: string;", "token: uint256", "password: String,", "token: string|null", "token := t1.x", "secret = keys[0]", "password = read(x1)", "token = base64Token", "password: Map<K,V>", "pwd = a1 ||", "token: Promise<string>",
+        "password: ${DB_PW1}", "password=$(cat /run/pw1)", "token = self.tok1", "private String password;", "token: changeme", "password = user1?.pw", "secret: /run/secrets/db1", "token = !ok", "password = 'abc1", "token == x9!ab",
+    ],
+)
+def test_lines_of_code_are_no_settings(line):
+    assert secrets.find_credentials(f"x\n  {line}\ny".encode()) == []
+
+
 @pytest.mark.parametrize("value", ["/9eMk0uSL8gRFoJEU6W3/0b/6ho=", "/k3Lq9ZtVbW1x8Pn", "/uWxQzLpKdGhTbNcYe+a", "//8aZq0LmW7yT=="])
 def test_values_that_begin_with_a_slash(value):
     text = f'send("a", pwd="{value}");'.encode()
