@@ -37,7 +37,7 @@ SHAPES = re.compile(
 #: What each of those shapes begins with.
 SHAPE_STARTS = [
     b"AKIA", b"ASIA", b"ghp_", b"gho_", b"ghu_", b"ghs_", b"ghr_", b"github_pat_", b"glpat-", b"xox", b"k_live_", b"k_test_", b"whsec_",
-    b"AIza", b"eyJ", b"SG.", b"npm_", b"pypi-", b"hf_", b"dckr_pat_", b"shpat_", b"shpca_", b"shppa_", b"shpss_", b" sk-", b'"sk-', b"'sk-", b"=sk-", b"dop_v1_", b"ya29.",
+    b"AIza", b"eyJ", b"SG.", b"npm_", b"pypi-", b"hf_", b"dckr_pat_", b"shpat_", b"shpca_", b"shppa_", b"shpss_", b"sk-", b"dop_v1_", b"ya29.",
 ]
 #: The last part of names (lower case) whose values give access. ``pass`` needs a word boundary.
 ANCHOR = re.compile(

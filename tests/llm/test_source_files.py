@@ -61,6 +61,13 @@ def test_lines_of_code_are_no_settings(line):
     assert secrets.find_credentials(f"x\n  {line}\ny".encode()) == []
 
 
+@pytest.mark.parametrize("before", ["", "`", ">", ":", "(", "[", "\n", "\t", "é"])
+def test_shapes_after_any_character(before):
+    token = "sk-" + "aB3dE5gH7jK9mN1pQ3sT"
+    assert secrets.credential_lines(f"{before}{token}".encode()) == [1 + before.count("\n")]
+    assert secrets.credential_lines(f"a{token} task-{token[3:]}".encode()) == []
+
+
 @pytest.mark.parametrize("value", ["/9eMk0uSL8gRFoJEU6W3/0b/6ho=", "/k3Lq9ZtVbW1x8Pn", "/uWxQzLpKdGhTbNcYe+a", "//8aZq0LmW7yT=="])
 def test_values_that_begin_with_a_slash(value):
     text = f'send("a", pwd="{value}");'.encode()
