@@ -24,14 +24,14 @@ LEAF_LINES = 3
 SHARED = 0.35
 CHUNK_BYTES = 1 << 19
 
-#: What generators write into the comments at the head of a file.
+#: What generators write into the comments at the head or end of a file.
 GENERATED_HEAD = re.compile(
     rb"(?i)@generated|auto-?_?generated|\bgenerated (?:by|from|code|file|with|using)|code generated|automatisch (?:erzeugt|generiert)|g[e\xc3\xa9]+n[e\xc3\xa9]+r[e\xc3\xa9]+ (?:par|automatiquement)"
     rb"|generado (?:por|autom)|gerado (?:por|autom)|(?:produced|emitted|created|written) by (?:the )?[\w.-]+(?: compiler| generator|,? edit\b)|overwritten (?:on|by|at) (?:every|each|the next)|changes will be (?:lost|overwritten)"
     rb"|do not (?:edit|modify|change)(?: this file| by hand| manually)?[.!\s]*(?:\*/)?\s*$|nicht von hand|ne pas (?:modifier|[e\xc3\xa9]+diter)|no (?:editar|modificar)|edit \S+\.(?:proto|yaml|yml|g4|xsd|json|idl|thrift|graphql) instead",
     re.M,
 )
-GENERATED_ANNOTATION = re.compile(rb"^\s*@(?:javax\.annotation\.|jakarta\.annotation\.)?(?:processing\.)?Generated\s*\(", re.M)
+GENERATED_ANNOTATION = re.compile(rb"^[ \t\r\f\v]*@(?:javax\.annotation\.|jakarta\.annotation\.)?(?:processing\.)?Generated\s*\(", re.M)
 #: What copied libraries carry at their head.
 VENDORED_HEAD = re.compile(
     rb"(?i)@license\b|/\*!\s*@?[\w./-]+\s+v?\d+\.\d+|(?:imported|copied|vendored|taken|adapted) (?:\w+ )?from\b|see licen[cs]e in the [\w.-]+ (?:distribution|package|repository)|\(c\) [\w.-]+ contributors|^\s*(?://|\*|/\*)\s*[\w-]+ v?\d+\.\d+\.\d+\s*$",
@@ -39,7 +39,7 @@ VENDORED_HEAD = re.compile(
 )
 #: Places that only tools or copies fill. A plain package name such as ``vendor`` or ``gen`` is not one.
 GENERATED_PATH = re.compile(r"/(?:generated-sources|generated/sources|__generated__|src-gen|src/gen/(?:java|ts|js)|app/generated|build/generated)/|(?:\.(?:g|gen|generated|pb)|_pb2?|_grpc)\.[A-Za-z]{2,4}$")
-VENDORED_PATH = re.compile(r"^/?[^/]+/[^/]+/(?:vendor|third_party|thirdparty|bower_components|node_modules|external|lib/external|src/vendored|public/js/libs)/[^/]+/")
+VENDORED_PATH = re.compile(r"^/?[^/]+/[^/]+/(?:vendor|thirdparty|external|lib/external|src/vendored|public/js/libs)/[^/]+/|(?:^|/)(?:node_modules|bower_components|third_party)/[^/]+/")
 MINIFIED_PATH = re.compile(r"[.-]min\.(?:js|css|mjs|cjs)$")
 
 HEAD = re.compile(rb"\A(?:\xef\xbb\xbf)?\s*(?:(?:/\*.*?\*/|//[^\n]*|#[^\n]*)\s*)*", re.S)
@@ -89,11 +89,31 @@ def layout(text: bytes) -> str | None:
     return None
 
 
+def end_comments(text: bytes) -> bytes:
+    """The comments that a file ends with, at the margin: what is indented or stands before a bracket is about the code."""
+    stop = at = len(text.rstrip())
+    while at:
+        line = text.rfind(b"\n", 0, at) + 1
+        body = text[line:at]
+        if body.startswith((b"//", b"#")):
+            first = line
+        elif body.endswith(b"*/"):
+            first = text.rfind(b"/*", 0, at)
+            if first < 0 or text[max(0, first - 1) : first] not in (b"", b"\n"):
+                break
+        else:
+            break
+        stop = at = first
+        while text[at - 1 : at].isspace():
+            at -= 1
+    return text[stop:]
+
+
 def sign(path: str, text: bytes | None) -> str | None:
     """The reason why one file by itself is not hand-written, if it shows one."""
     if text:
         head = HEAD.match(text).group()
-        if GENERATED_HEAD.search(head) or GENERATED_ANNOTATION.search(text, 0, 4096):
+        if GENERATED_HEAD.search(head) or GENERATED_HEAD.search(end_comments(text)) or (b"Generated" in text and GENERATED_ANNOTATION.search(text)):
             return "generated"
         if found := layout(text):
             return found

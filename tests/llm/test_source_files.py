@@ -180,6 +180,27 @@ def test_origins(spark):
     assert provenance.not_hand_written(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize(
+    "path, text, origin",
+    [
+        ("/ws/a/src/A.java", "/*\n" + " * licence text\n" * 500 + " */\n" + "import x.Y;\n" * 200 + '@Generated("tool")\nclass A {\n' + hand(31) + "\n}\n", "generated"),
+        ("/ws/a/src/B.ts", hand(32) + "\n// Code generated by stubwright 0.0.5. DO NOT EDIT.\n", "generated"),
+        ("/ws/a/src/C.ts", "class C {\n" + hand(33) + "\n}\n\n/*\n * Code generated by tool.\n */\n// end\n", "generated"),
+        ("/ws/a/src/C.ts", "class C {\n" + hand(33) + "\n  // ids are generated by the database\n  }\n}\n", None),
+        ("/ws/a/packages/x/node_modules/lib/index.js", hand(34), "vendored"),
+        ("/ws/a/svc/deep/third_party/lib/index.js", hand(35), "vendored"),
+        ("/ws/a/src/bower_components/lib/index.js", None, "vendored"),
+        ("/ws/a/src/vendor/lib/hand.ts", hand(36), None),
+        ("/ws/a/src/D.ts", hand(37) + "\n// Code generated by tool is read below.\n" + hand(38) + "\n// end\n", None),
+        ("/ws/a/src/E.ts", hand(39) + "\nrun(); /* as generated by tool */\n", None),
+        ("/ws/a/src/F.ts", "*/", None),
+        ("/ws/a/src/G.ts", "}\n", None),
+    ],
+)
+def test_signs_anywhere(path, text, origin):
+    assert provenance.sign(path, text and text.encode()) == origin
+
+
 def test_shared_subtrees(spark):
     one, two = hand(21), hand(22)
     rows = [(i, f"/ws/{w}/{p}", t, w) for i, (w, p, t) in enumerate([("a", "lib/k/m/A.js", one), ("a", "lib/k/B.js", two), ("b", "src/z/k/m/A.js", one), ("b", "src/z/k/B.js", two), ("b", "src/z/C.js", hand(23)), ("c", "k/B.js", two)])]
