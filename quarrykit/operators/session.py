@@ -124,19 +124,21 @@ def view_events(events: DataFrame, replies: DataFrame) -> DataFrame:
     return joined.select("session_id", "seq", F.posexplode(told).alias("step", "type"))
 
 
-def save_events(events: DataFrame, replies: DataFrame) -> DataFrame:
+def save_events(events: DataFrame, replies: DataFrame, held: Column | None = None) -> DataFrame:
     """(session_id, seq, step, type): what the view is told after each request to save.
 
     The form is shown if the reply to the session's last question holds a code
     block; without a question, a reply, text or a block there is a notice. A new
     question puts the reply before it out of reach, also if it has none itself.
-    ``replies`` is as for ``view_events``.
+    ``replies`` is as for ``view_events``; if ``held`` tells of its rows whether
+    they hold a block, it needs no response.
     """
-    once = delivered_once(events).where("type IN ('sendMessage', 'savePattern')").select("session_id", "seq", "type", "message")
-    held = replies.select("session_id", "seq", (F.size(code_blocks(F.col("response"))) > 0).alias("held"))
-    joined = once.join(held, ["session_id", "seq"], "left")
+    held = F.size(code_blocks(F.col("response"))) > 0 if held is None else held
+    # flags instead of texts, before anything is shuffled
     sent = (F.col("type") == "sendMessage") & asked(F.col("message")).isNotNull()
-    offered = F.when(sent, F.when(F.col("held"), "showSaveForm").otherwise("addMessage"))
+    once = delivered_once(events.select("session_id", "seq", "arrived_at", "type", sent.alias("sent"))).where("type IN ('sendMessage', 'savePattern')")
+    joined = once.join(replies.select("session_id", "seq", held.alias("held")), ["session_id", "seq"], "left")
+    offered = F.when(F.col("sent"), F.when(F.col("held"), "showSaveForm").otherwise("addMessage"))
     # the outcome travels on, not the reply; it is read several times below
     outcome = cut_lineage(joined.select("session_id", "seq", "type", offered.alias("offered")))
     state = carry_forward(outcome, F.col("offered"), "told")

@@ -4,7 +4,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrykit.functions import classify as C
@@ -318,22 +318,22 @@ def stream_last_query(spark, d):
     return chat.run_in_chunks(chat.event_stream(spark, path, 1_000_000), folder)
 
 
-def _matched(spark: SparkSession, d: str) -> DataFrame:
-    """(session_id, seq, response) of the answered questions; the n-th request of a session answers its n-th question."""
+def _matched(spark: SparkSession, d: str, made: Column) -> DataFrame:
+    """(session_id, seq) and ``made`` of the response of the answered questions; the n-th request of a session answers its n-th question."""
     asked = session.numbered(_questions(spark, d).select("session_id", "seq"))
     requests = table(spark, d, "reply").select("session_id", "request_id").distinct()
     places = session.numbered_by(requests, "request_id")
-    answers = _replies(spark, d).join(places, ["session_id", "request_id"])
-    return asked.join(answers, ["session_id", "n"]).select("session_id", "seq", "response")
+    answers = _replies(spark, d).select("session_id", "request_id", made.alias("made")).join(places, ["session_id", "request_id"])
+    return asked.join(answers, ["session_id", "n"]).select("session_id", "seq", "made")
 
 
 @query
 def view_events(spark, d):
     """K4: what the view is told, requests to save apart."""
-    return session.view_events(table(spark, d, "chat_event"), _matched(spark, d))
+    return session.view_events(table(spark, d, "chat_event"), _matched(spark, d, F.col("response")).withColumnRenamed("made", "response"))
 
 
 @query
 def view_save_events(spark, d):
     """What the view is told after a request to save."""
-    return session.save_events(table(spark, d, "chat_event"), _matched(spark, d))
+    return session.save_events(table(spark, d, "chat_event"), _matched(spark, d, F.size(C.code_blocks(F.col("response"))) > 0), F.col("made"))
