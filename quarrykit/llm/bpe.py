@@ -57,7 +57,8 @@ class PerfectHash:
 
     A key takes the first level on which its bit was not contested while the
     table was built; the number of bits set before it is its place. A stored
-    copy of the key tells strangers from members.
+    copy of the key tells strangers from members, up to strangers with an equal
+    key, which the caller tells by their bytes.
     """
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
@@ -94,6 +95,28 @@ class PerfectHash:
         return found
 
 
+class Spans:
+    """Byte spans of one buffer, compared eight bytes at a time."""
+
+    def __init__(self, data: bytes):
+        self.data = data + bytes(8)
+        self.words = np.ndarray((len(data) + 1,), "<u8", self.data, strides=(1,))
+
+    def same(self, start: np.ndarray, size: np.ndarray, other: Spans, other_start: np.ndarray, other_size: np.ndarray) -> np.ndarray:
+        """Whether each span has the bytes of the one beside it in ``other``."""
+        equal = size == other_size
+        left = np.flatnonzero(equal)
+        done = 0
+        while len(left):
+            rest = np.minimum(size[left] - done, 8)
+            unused = (8 * (8 - rest)).astype(np.uint64)
+            differ = (self.words[start[left] + done] ^ other.words[other_start[left] + done]) << unused
+            equal[left[differ != 0]] = False
+            done += 8
+            left = left[(differ == 0) & (size[left] > done)]
+        return equal
+
+
 def byte_pairs(ranks: dict[bytes, int]) -> list[int]:
     """Rank of every pair of bytes by ``first * 256 + second``, -1 where there is none."""
     return [ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
@@ -178,41 +201,43 @@ def cut(points: np.ndarray, first: np.ndarray, classes: np.ndarray) -> np.ndarra
     return start
 
 
-class Encoder:
-    """Encodes batches of texts; built once on the driver and broadcast.
+def vocabulary(path: str = DEFAULT_RANKS) -> dict:
+    """What an ``Encoder`` is made of, as plain arrays, lists and dicts.
 
+    Built once on the driver and broadcast; a broadcast is pickled plainly, so
+    it must not hold objects of this package, which executors have no copy of.
     Its size is that of the vocabulary and of the class table, whatever the data.
     """
+    ranks = read_ranks(path)
+    whole = b"".join(ranks)
+    size = np.array([len(t) for t in ranks], np.int64)
+    start = np.cumsum(size) - size
+    order = np.arange(len(ranks))
+    table = PerfectHash(SpanHash()(np.frombuffer(whole, np.uint8), start, start + size), order)
+    return {
+        "ranks": ranks, "ids": np.array(list(ranks.values()), np.int64), "whole": whole, "start": start, "size": size,
+        "levels": table.levels, "keys": table.keys, "order": table.values, "pairs": byte_pairs(ranks), "classes": character_classes(),
+    }
 
-    def __init__(self, path: str = DEFAULT_RANKS):
-        self.ranks = read_ranks(path)
-        tokens = list(self.ranks)
-        data = np.frombuffer(b"".join(tokens), np.uint8)
-        stop = np.cumsum([len(t) for t in tokens])
-        start = np.concatenate([[0], stop[:-1]]).astype(np.int64)
-        self.longest = max(map(len, tokens))
-        self.pairs = byte_pairs(self.ranks)
-        self.table = PerfectHash(SpanHash()(data, start, stop), np.array(list(self.ranks.values()), np.int64))
-        self.classes = character_classes()
-        self._worker()
-
-    def _worker(self) -> None:
-        self.hash, self.memory = SpanHash(1 << 12), {}
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("hash", "memory")}
 
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self._worker()
+class Encoder:
+    """Encodes batches of texts; each worker builds its own from the broadcast ``vocabulary``."""
+
+    def __init__(self, made: dict | None = None):
+        made = made or vocabulary()
+        self.ranks, self.pairs, self.classes, self.ids = made["ranks"], made["pairs"], made["classes"], made["ids"]
+        self.tokens, self.token_start, self.token_size = Spans(made["whole"]), made["start"], made["size"]
+        self.longest = int(self.token_size.max(initial=0))
+        self.table = PerfectHash.__new__(PerfectHash)
+        self.table.levels, self.table.keys, self.table.values = made["levels"], made["keys"], made["order"]
+        self.hash, self.memory = SpanHash(1 << 12), {}
 
-    def _merged(self, key: int, piece: bytes) -> list[int]:
-        # a long pre-token is remembered by its bytes: its hash alone is not trusted
-        known = self.memory.get(name := key if len(piece) <= 64 else piece)
+    def _merged(self, piece: bytes) -> list[int]:
+        known = self.memory.get(piece)
         if known is None:
             if len(self.memory) >= MEMORY:
                 self.memory.clear()
-            self.memory[name] = known = merge(piece, self.ranks, self.pairs)
+            self.memory[piece] = known = merge(piece, self.ranks, self.pairs)
         return known
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -236,19 +261,24 @@ class Encoder:
         if at is not None:
             start = at[start]
         stop = np.append(start[1:], len(data))
+        size = stop - start
         keys = self.hash(data, start, stop)
         found = self.table.find(keys)
-        found[stop - start > self.longest] = -1
+        found[size > self.longest] = -1
+        # a hit is one of key; its bytes decide
+        hit = np.flatnonzero(found >= 0)
+        spans, token = Spans(whole), found[hit]
+        stranger = ~spans.same(start[hit], size[hit], self.tokens, self.token_start[token], self.token_size[token])
+        found[hit] = self.ids[token]
+        found[hit[stranger]] = -1
         miss = np.flatnonzero(found < 0)
         width = np.ones(len(start), np.int64)
         if len(miss):
-            long = miss[stop[miss] - start[miss] > 64]
-            short = miss[stop[miss] - start[miss] <= 64]
-            _, where, which = np.unique(keys[short], return_index=True, return_inverse=True)
-            merged = [self._merged(int(keys[i]), whole[start[i] : stop[i]]) for i in short[where]]
-            which = np.concatenate([which, len(merged) + np.arange(len(long))])
-            merged += [self._merged(int(keys[i]), whole[start[i] : stop[i]]) for i in long]
-            miss = np.concatenate([short, long])
+            _, where, which = np.unique(keys[miss], return_index=True, return_inverse=True)
+            like = miss[where][which]
+            alone = np.flatnonzero(~spans.same(start[miss], size[miss], spans, start[like], size[like]))
+            which[alone] = len(where) + np.arange(len(alone))
+            merged = [self._merged(whole[start[i] : stop[i]]) for i in np.concatenate([miss[where], miss[alone]])]
             counts = np.array([len(x) for x in merged], np.int64)
             flat = np.fromiter((y for x in merged for y in x), np.int64, int(counts.sum()))
             base = np.cumsum(counts) - counts
@@ -289,8 +319,8 @@ def chunks(column: pa.Array) -> Iterator[list[bytes]]:
         yield part
 
 
-def _encoder(df: DataFrame, path: str):
-    return df.sparkSession.sparkContext.broadcast(Encoder(path))
+def _vocabulary(df: DataFrame, path: str):
+    return df.sparkSession.sparkContext.broadcast(vocabulary(path))
 
 
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", ranks: str = DEFAULT_RANKS) -> DataFrame:
@@ -301,11 +331,11 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", ranks: str =
     keys too; other columns are not read. An empty table gives an empty table.
     The broadcast holds the vocabulary, whose size does not depend on the data.
     """
-    shared = _encoder(df, ranks)
+    shared = _vocabulary(df, ranks)
     source = df.select(F.col(key), F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared.value
+        encoder = Encoder(shared.value)
         for batch in batches:
             done = 0
             for part in chunks(batch.column(1)):
@@ -321,11 +351,11 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", ranks: str =
 
 def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", ranks: str = DEFAULT_RANKS) -> DataFrame:
     """``key`` and ``n_tokens``; null and empty texts have none."""
-    shared = _encoder(df, ranks)
+    shared = _vocabulary(df, ranks)
     source = df.select(F.col(key), F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared.value
+        encoder = Encoder(shared.value)
         for batch in batches:
             counts = [encoder(part)[1] for part in chunks(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(counts) if counts else [], pa.int64())], names=[key, "n_tokens"])

@@ -1,5 +1,8 @@
 """Encoding, container filling and look-alike forms."""
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -123,3 +126,47 @@ def test_look_alike_pairs(spark):
     assert got == sorted((a, b) for a in kinds for b in kinds if a < b and kinds[a] != kinds[b])
     assert lookalike.look_alike_pairs(df.limit(0)).collect() == []
     assert {r.doc_id: r.form for r in lookalike.visible_form(df).collect()}[30] is None
+
+
+def test_hits_and_misses_are_told_by_their_bytes(reference):
+    made = bpe.vocabulary()
+    encoder = bpe.Encoder(made)
+    text = "Hello zqxjvw zqxjvv " + "ab" * 200 + " " + "ab" * 200 + "c"
+    want = reference.encode_ordinary(text)
+    assert encoder([text.encode()])[0].tolist() == want
+
+    class OneKey(bpe.SpanHash):
+        """Hashes that all meet: only the bytes can tell pre-tokens apart."""
+
+        def __call__(self, data, start, end):
+            return np.full(len(start), made["keys"][7], np.uint64)
+
+    encoder.hash = OneKey(1 << 12)
+    assert encoder([text.encode()])[0].tolist() == want
+
+
+def test_spans():
+    rng = random.Random(8)
+    data = bytes(rng.choice(b"ab") for _ in range(300))
+    spans = bpe.Spans(data)
+    a, b = (np.array([rng.randrange(260) for _ in range(4000)]) for _ in range(2))
+    n, m = (np.array([rng.randrange(1, 40) for _ in range(4000)]) for _ in range(2))
+    m[::2] = n[::2]
+    want = [data[i : i + k] == data[j : j + l] for i, j, k, l in zip(a, b, n, m)]
+    assert spans.same(a, n, spans, b, m).tolist() == want and any(want)
+
+
+def test_executors_need_no_copy_of_the_package(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    script = (
+        "import sys; sys.path.append(sys.argv[1])\n"
+        "from quarrykit.session import local_session\n"
+        "spark = local_session('2', partitions=2, memory='1g')\n"
+        "from quarrykit.llm import bpe, lookalike, packing\n"
+        "docs = spark.createDataFrame([(1, 'Hello world'), (2, None)], 'doc_id bigint, text string')\n"
+        "budgets = spark.createDataFrame([(1, 8)], 'budget_id int, capacity int')\n"
+        "print(bpe.encode(docs).count(), packing.pack_documents(docs, budgets).count(), lookalike.look_alike_pairs(docs).count())\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script, root], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.stdout.split() == ["2", "2", "0"], done.stderr[-2000:]
