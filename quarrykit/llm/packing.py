@@ -2,8 +2,10 @@
 
 The driver sees a histogram of lengths, never the documents. Dynamic
 programming over that histogram chooses the length buckets whose padding is
-least; a plan then says how many items of which bucket go into how many
-containers; and every row finds its container from its rank in its bucket.
+least. Batches form inside each bucket until the token budget is spent; the
+room that a batch leaves is filled with items of shorter buckets before these
+form batches of their own. Every row finds its container from its rank among
+the rows of its length.
 """
 from __future__ import annotations
 
@@ -18,7 +20,10 @@ from pyspark.sql import functions as F
 from quarrykit.llm.bpe import DEFAULT_RANKS, token_counts
 from quarrykit.session import cut_lineage
 
-MAX_BUCKETS = 2048
+#: Length buckets of each budget.
+BUCKETS = 64
+#: Rows of settings; each multiplies the pieces, so more of them are refused.
+MAX_BUDGETS = 64
 #: Rows that one salt of a bucket holds on average at most.
 SALT_ROWS = 200_000
 
@@ -56,11 +61,9 @@ def bucket_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> np.n
 
     Padding is the sum over items of (bound - length). The dynamic program
     charges a price for each bucket; the least price that keeps to ``buckets``
-    gives the least padding for the number of buckets it returns. If there are
-    no more lengths than buckets, each length is its own and nothing is padded.
+    gives the least padding for the number of buckets it returns, which is less
+    than ``buckets`` only where one bucket more would save as much as the last.
     """
-    if len(lengths) <= buckets:
-        return lengths
     number = np.concatenate([[0], np.cumsum(counts)]).tolist()
     mass = np.concatenate([[0], np.cumsum(counts * lengths)]).tolist()
     bound = lengths.tolist()
@@ -76,19 +79,23 @@ def bucket_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> np.n
     return np.array(best)
 
 
-def plan(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
-    """Which ranks of which bucket go into which containers, and how many containers.
+def plan(sizes: np.ndarray, counts: np.ndarray, bounds: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
+    """Which ranks of which length go into which containers, and how many containers.
 
-    Buckets are taken from the longest items to the shortest. A bucket's batches
-    first fill the room that is left in containers already begun, tightest room
-    first; the rest opens containers that hold as many of its items as the
-    capacity allows. All containers with the same room are one entry, so the
-    work depends on the capacity and not on the number of items. Each row of
-    the result is (size, first rank, first container, items per container).
+    ``bounds`` are the buckets, taken from the longest to the shortest, and
+    inside a bucket from the longest items to the shortest. Items first fill the
+    room that batches of longer ones left, tightest room first. The rest forms
+    batches of its bucket within the token budget: the ``capacity // bound``
+    items that fit even when padded, and more as long as their own tokens fit;
+    a batch that one length cannot fill takes the next lengths of its bucket.
+    All containers with the same room are one entry, so the work depends on the
+    capacity and not on the number of items. Each row of the result is (size,
+    first rank, first container, items per container).
     """
     room: dict[int, list[tuple[int, int]]] = {}
     rooms: list[int] = []
-    rows, opened = [], 0
+    rows: list[tuple[int, int, int, int]] = []
+    opened = 0
 
     def leave(space: int, first: int, n: int) -> None:
         if space <= 0 or n <= 0:
@@ -98,13 +105,10 @@ def plan(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarr
             bisect.insort(rooms, space)
         room[space].append((first, n))
 
-    for size, count in sorted(zip(sizes.tolist(), counts.tolist()), reverse=True):
-        rank = 0
+    def fill(size: int, rank: int, count: int) -> int:
+        """Put items from ``rank`` on into the room there is; the rank that is left."""
         later = []
-        while rank < count:
-            at = bisect.bisect_left(rooms, size)
-            if at == len(rooms):
-                break
+        while rank < count and (at := bisect.bisect_left(rooms, size)) < len(rooms):
             space = rooms[at]
             first, n = room[space].pop()
             if not room[space]:
@@ -116,125 +120,156 @@ def plan(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarr
                 rows.append((size, rank, first, each))
                 later.append((space - each * size, first, full))
                 rank += full * each
-            left = count - rank
-            if full < n and left:
+            left = count - rank if full < n else 0
+            if left:
                 rows.append((size, rank, first + full, left))
                 later.append((space - left * size, first + full, 1))
-                rank = count
-                leave(space, first + full + 1, n - full - 1)
-            elif full < n:
-                leave(space, first + full, n - full)
+                rank, full = count, full + 1
+            leave(space, first + full, n - full)
         for x in later:
             leave(*x)
-        if rank < count:
+        return rank
+
+    bucket = np.searchsorted(bounds, sizes)
+    for b in range(len(bounds) - 1, -1, -1):
+        begun = None  # the container and the room of a batch that lacks items
+        for i in np.flatnonzero(bucket == b)[::-1].tolist():
+            size, count, rank = int(sizes[i]), int(counts[i]), 0
+            if begun and (n := min(begun[1] // size, count)):
+                rows.append((size, 0, begun[0], n))
+                rank, begun = n, (begun[0], begun[1] - n * size)
+            rank = fill(size, rank, count)
+            if rank == count:
+                continue
+            if begun:
+                leave(begun[1], begun[0], 1)
+                begun = None
             each = capacity // size
             full, left = divmod(count - rank, each)
             if full:
                 rows.append((size, rank, opened, each))
                 leave(capacity - each * size, opened, full)
-                opened += full
-                rank += full * each
+                opened, rank = opened + full, rank + full * each
             if left:
                 rows.append((size, rank, opened, left))
-                leave(capacity - left * size, opened, 1)
-                opened += 1
+                begun, opened = (opened, capacity - left * size), opened + 1
+        if begun:
+            leave(begun[1], begun[0], 1)
     return np.array(rows, np.int64).reshape(-1, 4), opened
 
 
-def _histograms(pieces: DataFrame) -> pd.DataFrame:
-    """Counts by budget and length; at most the sum of the capacities rows."""
-    return pieces.groupBy("budget_id", "capacity", "n_tokens").count().toPandas()
+def _pieces(items: DataFrame, *kept: str) -> DataFrame:
+    """The pieces of items of ``total`` tokens for each budget of the ``budgets`` array."""
+    each = items.select(*kept, "total", F.explode("budgets").alias("b")).select(*kept, "total", "b.budget_id", "b.capacity")
+    last = F.greatest(F.floor((F.col("total") - 1) / F.col("capacity")), F.lit(0)).cast("int")
+    start = F.col("piece") * F.col("capacity")
+    return each.withColumn("piece", F.explode(F.sequence(F.lit(0), last))).select(
+        "budget_id", "capacity", *kept, "piece", start.alias("start_token"), F.least(F.col("capacity"), F.col("total") - start).alias("n_tokens")
+    )
+
 
+def _histograms(lengths: DataFrame, budgets) -> pd.DataFrame:
+    """Counts by budget and length of piece; at most the sum of the capacities rows.
 
-def fill_containers(lengths: DataFrame, budgets: DataFrame, key: str = "doc_id", max_buckets: int = MAX_BUCKETS) -> DataFrame:
+    Documents are counted by length first, so that what is multiplied by the
+    budgets is one row for each length; a long document's full pieces are
+    counted, not made.
+    """
+    totals = lengths.groupBy("total").agg(F.count(F.lit(1)).alias("n")).where("total > 0").withColumn("budgets", budgets)
+    each = totals.select("total", "n", F.explode("budgets").alias("b")).select("total", "n", "b.budget_id", "b.capacity")
+    full, rest = F.floor(F.col("total") / F.col("capacity")), F.col("total") % F.col("capacity")
+    both = F.array(F.struct(F.col("capacity").alias("n_tokens"), (full * F.col("n")).alias("n")), F.struct(rest.alias("n_tokens"), F.col("n").alias("n")))
+    made = each.select("budget_id", "capacity", F.explode(both).alias("x")).select("budget_id", "capacity", "x.n_tokens", "x.n").where("n_tokens > 0 AND n > 0")
+    return made.groupBy("budget_id", "capacity", "n_tokens").agg(F.sum("n").alias("count")).toPandas()
+
+
+def fill_containers(lengths: DataFrame, budgets: DataFrame, key: str = "doc_id", max_buckets: int = BUCKETS) -> DataFrame:
     """Where each piece of each document goes, for each row of ``budgets``.
 
     ``lengths`` has ``key`` and ``n_tokens``; ``budgets`` has ``budget_id`` and
-    ``capacity`` and is a small table of settings. One row per piece:
-    ``budget_id``, ``container`` (from 0), the key, ``piece`` (from 0),
-    ``start_token``, ``n_tokens`` and ``bucket``, the upper length bound that
-    the item was planned with.
+    ``capacity`` and is a table of settings of at most MAX_BUDGETS rows; more
+    raise an error. One row per piece: ``budget_id``, ``container`` (from 0),
+    the key, ``piece`` (from 0), ``start_token``, ``n_tokens`` and ``bucket``,
+    the upper length bound that the item was batched with: ``bucket - n_tokens``
+    is its padding.
 
     A document is split only if it is longer than the capacity: into full
     pieces and one rest. A document without tokens, or with a null count, is
     one piece of no tokens in container 0. Documents with the same key are
     documents of their own. Budgets with a null or non-positive capacity, and
-    empty tables, give no rows.
+    empty tables, give no rows. Two jobs run while the plan is made: the token
+    counts are written once, and their histogram comes to the driver.
     """
     spark = lengths.sparkSession
-    budgets = budgets.select("budget_id", "capacity").where("capacity > 0")
-    lengths = cut_lineage(lengths.select(F.col(key), F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("total")))
-    settings = [(r.budget_id, r.capacity) for r in budgets.collect()]
-    parts = [
-        lengths.withColumns({"budget_id": F.lit(b), "capacity": F.lit(c).cast("bigint")}) for b, c in settings
-    ]
-    if not parts:
+    settings = [(r.budget_id, r.capacity) for r in budgets.select("budget_id", "capacity").where("capacity > 0").limit(MAX_BUDGETS + 1).collect()]
+    if len(settings) > MAX_BUDGETS:
+        raise ValueError(f"more than {MAX_BUDGETS} budgets")
+    if not settings:
         kind = lengths.schema[key].dataType.simpleString()
         return spark.createDataFrame([], f"budget_id int, container bigint, `{key}` {kind}, piece int, start_token bigint, n_tokens bigint, bucket bigint")
-    items = parts[0]
-    for part in parts[1:]:
-        items = items.unionByName(part)
-    last = F.greatest(F.floor((F.col("total") - 1) / F.col("capacity")), F.lit(0)).cast("int")
-    pieces = items.select(
-        "budget_id", "capacity", key, "total", F.explode(F.sequence(F.lit(0), last)).alias("piece")
-    ).select(
-        "budget_id", "capacity", key, "piece", (F.col("piece") * F.col("capacity")).alias("start_token"),
-        F.least(F.col("capacity"), F.col("total") - F.col("piece") * F.col("capacity")).alias("n_tokens"),
-    )
-    counted = _histograms(pieces)
+    array = F.array(*[F.struct(F.lit(b).alias("budget_id"), F.lit(c).cast("bigint").alias("capacity")) for b, c in settings])
+    lengths = cut_lineage(lengths.select(F.col(key), F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("total")))
+    counted = _histograms(lengths, array)
     tables: dict[int, tuple] = {}
     largest = 1
-    for budget, own in counted[counted.n_tokens > 0].groupby("budget_id"):
+    for budget, own in counted.groupby("budget_id"):
         own = own.sort_values("n_tokens")
         size, count, capacity = own.n_tokens.to_numpy(), own["count"].to_numpy(), int(own.capacity.iloc[0])
         bounds = bucket_bounds(size, count, max_buckets)
-        slot = np.searchsorted(bounds, size)
-        sums = np.bincount(slot, weights=count, minlength=len(bounds)).astype(np.int64)
-        rows, _ = plan(bounds[sums > 0], sums[sums > 0], capacity)
+        rows, _ = plan(size, count, bounds, capacity)
         rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-        tables[int(budget)] = (bounds, rows, int(sums.max()) + 1)
-        largest = max(largest, int(sums.max()))
+        tables[int(budget)] = (bounds, rows, int(count.max()) + 1)
+        largest = max(largest, int(count.max()))
     shared = spark.sparkContext.broadcast(tables)  # bounded by the capacities
 
-    @F.pandas_udf("bigint")
-    def bucket_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for budget, size in batches:
-            out = np.zeros(len(size), np.int64)
-            for b, (bounds, _, _) in shared.value.items():
-                own = ((budget == b) & (size > 0)).to_numpy()
-                out[own] = bounds[np.searchsorted(bounds, size.to_numpy()[own])]
-            yield pd.Series(out)
-
-    @F.pandas_udf("bigint")
-    def container_of(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for budget, bucket, rank in batches:
-            out = np.zeros(len(bucket), np.int64)
-            for b, (_, rows, step) in shared.value.items():
-                own = ((budget == b) & (bucket > 0)).to_numpy()
-                if own.any():
-                    size, place = bucket.to_numpy()[own], rank.to_numpy()[own]
-                    begin = np.searchsorted(rows[:, 0], size, side="left")
-                    stop = np.searchsorted(rows[:, 0], size, side="right")
-                    joint = np.searchsorted(rows[:, 0] * step + rows[:, 1], size * step + place, side="right") - 1
-                    row = rows[np.clip(joint, begin, stop - 1)]
-                    out[own] = row[:, 2] + (place - row[:, 1]) // row[:, 3]
-            yield pd.Series(out)
+    def place_all(budget: np.ndarray, size: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        container, bucket = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+        for b, (bounds, rows, step) in shared.value.items():
+            own = budget == b
+            if own.any():
+                mine, place = size[own], rank[own]
+                row = rows[np.searchsorted(rows[:, 0] * step + rows[:, 1], mine * step + place, side="right") - 1]
+                container[own] = row[:, 2] + (place - row[:, 1]) // row[:, 3]
+                bucket[own] = bounds[np.searchsorted(bounds, mine)]
+        return container, bucket
+
+    @F.pandas_udf("container bigint, bucket bigint")
+    def placed(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for budget, size, rank in batches:
+            container, bucket = place_all(budget.to_numpy(), size.to_numpy(), rank.to_numpy())
+            yield pd.DataFrame({"container": container, "bucket": bucket})
 
+    pieces = _pieces(lengths.withColumn("budgets", array), key)
+    # pieces of no tokens need no place, however many they are
+    empty = pieces.where("n_tokens = 0").select("budget_id", F.lit(0).cast("bigint").alias("container"), key, "piece", "start_token", "n_tokens", F.lit(0).cast("bigint").alias("bucket"))
     salts = max(1, -(-largest // SALT_ROWS))
-    salt = F.pmod(F.xxhash64(key, "piece"), F.lit(salts)).cast("int")
-    # asNondeterministic keeps the optimiser from repeating a call above and below the shuffle
-    known = pieces.withColumn("bucket", bucket_of.asNondeterministic()("budget_id", "n_tokens")).withColumn("salt", salt)
-    group = ["budget_id", "bucket", "salt"]
+    known = pieces.where("n_tokens > 0").withColumn("salt", F.pmod(F.xxhash64(key, "piece"), F.lit(salts)).cast("int"))
+    group = ["budget_id", "n_tokens", "salt"]
     inside = known.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(key, "piece")) - 1)
     if salts > 1:
-        before = Window.partitionBy("budget_id", "bucket").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+        before = Window.partitionBy("budget_id", "n_tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
         offset = known.groupBy(*group).count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
         inside = inside.join(offset, group).withColumn("place", F.col("place") + F.col("before"))
-    return inside.select(
-        "budget_id", container_of("budget_id", "bucket", F.col("place").cast("bigint")).alias("container"), key, F.col("piece").cast("int").alias("piece"), "start_token", "n_tokens", "bucket"
-    )
+    made = inside.withColumn("at", placed("budget_id", "n_tokens", F.col("place").cast("bigint")))
+    return made.select("budget_id", "at.container", key, "piece", "start_token", "n_tokens", "at.bucket").unionByName(empty)
 
 
-def pack_documents(documents: DataFrame, budgets: DataFrame, key: str = "doc_id", text: str = "text", ranks: str = DEFAULT_RANKS, max_buckets: int = MAX_BUCKETS) -> DataFrame:
+def pack_documents(documents: DataFrame, budgets: DataFrame, key: str = "doc_id", text: str = "text", ranks: str = DEFAULT_RANKS, max_buckets: int = BUCKETS) -> DataFrame:
     """``fill_containers`` over the token counts of ``text``."""
     return fill_containers(token_counts(documents, key, text, ranks), budgets, key, max_buckets)
+
+
+def container_fill(placed: DataFrame, budgets: DataFrame) -> DataFrame:
+    """(budget_id, capacity, containers, least_containers, tokens, padded_rows, padding, fill) of each budget.
+
+    ``least_containers`` is what the tokens need at least; ``padding`` is the
+    sum of what the buckets add to their items, and ``fill`` the share of the
+    containers' room that tokens take. Budgets without a token have no row.
+    """
+    used = placed.where("n_tokens > 0").groupBy("budget_id").agg(
+        (F.max("container") + 1).alias("containers"), F.sum("n_tokens").alias("tokens"), F.count_if(F.col("bucket") > F.col("n_tokens")).alias("padded_rows"), F.sum(F.col("bucket") - F.col("n_tokens")).alias("padding")
+    )
+    capacity = budgets.select("budget_id", F.col("capacity").cast("bigint").alias("capacity"))
+    return used.join(F.broadcast(capacity.limit(MAX_BUDGETS)), "budget_id").select(
+        "budget_id", "capacity", "containers", F.ceil(F.col("tokens") / F.col("capacity")).alias("least_containers"), "tokens", "padded_rows", "padding", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 6).alias("fill")
+    )

@@ -5,7 +5,7 @@ from quarrykit.llm.bpe import encode
 from quarrykit.llm.cooccur import pattern_tag_pairs
 from quarrykit.llm.lookalike import look_alike_pairs
 from quarrykit.llm.neardup import pattern_groups, pattern_pairs
-from quarrykit.llm.packing import pack_documents
+from quarrykit.llm.packing import container_fill, pack_documents
 from quarrykit.llm.provenance import file_origins, not_hand_written
 from quarrykit.llm.secrets import corpus_credentials, corpus_keys, corpus_redacted
 from quarrykit.llm.termfreq import pattern_terms
@@ -64,11 +64,16 @@ def p7_containers(spark, d):
     return pack_documents(table(spark, d, "documents"), table(spark, d, "context_budget"))
 
 
+def p7_fill(spark, d):
+    budgets = table(spark, d, "context_budget")
+    return container_fill(pack_documents(table(spark, d, "documents"), budgets), budgets)
+
+
 def p8_found(spark, d):
     return look_alike_pairs(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_groups, p3_found, p3_origins, p4_found, p4_terms, p5_found, p5_keys, p5_redacted, p6_ids, p7_containers, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_groups, p3_found, p3_origins, p4_found, p4_terms, p5_found, p5_keys, p5_redacted, p6_ids, p7_containers, p7_fill, p8_found)}
 
 CURRENT = """current_row AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS rn FROM saved_pattern) WHERE rn = 1

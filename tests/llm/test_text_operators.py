@@ -94,6 +94,52 @@ def test_containers(spark, monkeypatch, salt_rows, buckets):
             assert (used > 0).sum() <= -(-sum(s or 0 for s in sizes) // capacity) + 2
 
 
+def test_batches_of_padded_items():
+    rng = np.random.default_rng(5)
+    for capacity, most, buckets in ((64, 64, 5), (1000, 400, 8), (97, 97, 3)):
+        sizes = np.unique(rng.integers(1, most + 1, 60))
+        counts = rng.integers(1, 60, len(sizes))
+        bounds = packing.bucket_bounds(sizes, counts, buckets)
+        assert len(bounds) <= buckets < len(sizes)
+        rows, opened = packing.plan(sizes, counts, bounds, capacity)
+        used, held = np.zeros(opened, np.int64), {s: [] for s in sizes.tolist()}
+        for size, rank, first, each in rows.tolist():
+            held[size].append((rank, first, each))
+        for size, count in zip(sizes.tolist(), counts.tolist()):
+            parts = sorted(held[size])
+            assert parts[0][0] == 0
+            for (rank, first, each), stop in zip(parts, [p[0] for p in parts[1:]] + [count]):
+                np.add.at(used, first + np.arange(stop - rank) // each, size)
+        # every rank has one place, and no container holds more than it can
+        assert used.sum() == (sizes * counts).sum() and used.max() <= capacity
+        # about as many containers as first fit decreasing over exact lengths
+        room = []
+        for size, count in zip(sizes[::-1].tolist(), counts[::-1].tolist()):
+            for _ in range(count):
+                at = next((i for i, r in enumerate(room) if r >= size), None)
+                if at is None:
+                    room.append(capacity - size)
+                else:
+                    room[at] -= size
+        assert opened <= 1.01 * len(room) + 2
+
+
+def test_fill_of_containers(spark):
+    rng = random.Random(3)
+    lengths = spark.createDataFrame([(i, rng.randint(0, 200)) for i in range(3000)], "doc_id bigint, n_tokens bigint")
+    budgets = spark.createDataFrame([(1, 64, "x"), (2, 512, "x")], "budget_id int, capacity int, fill string")
+    placed = packing.fill_containers(lengths, budgets, max_buckets=8)
+    rows = {r.budget_id: r for r in packing.container_fill(placed, budgets).collect()}
+    for budget, capacity in ((1, 64), (2, 512)):
+        own = placed.where(f"budget_id = {budget} AND n_tokens > 0").toPandas()
+        assert rows[budget].tokens == own.n_tokens.sum() and rows[budget].containers == own.container.nunique()
+        assert rows[budget].padded_rows == (own.bucket > own.n_tokens).sum() > 0 and rows[budget].padding == (own.bucket - own.n_tokens).sum()
+        assert rows[budget].fill > 0.99 and rows[budget].least_containers == -(-own.n_tokens.sum() // capacity)
+    many = spark.createDataFrame([(i, 10) for i in range(packing.MAX_BUDGETS + 1)], "budget_id int, capacity int")
+    with pytest.raises(ValueError):
+        packing.fill_containers(lengths, many)
+
+
 def test_containers_of_nothing(spark):
     lengths = spark.createDataFrame([], "doc_id bigint, n_tokens bigint")
     budgets = spark.createDataFrame([(1, 10)], "budget_id int, capacity int")
