@@ -1,5 +1,6 @@
 """Credentials and origins of source files."""
 import pytest
+from pyspark.sql import functions as F
 
 from quarrykit.llm import provenance, secrets
 
@@ -206,3 +207,50 @@ def test_shared_subtrees(spark):
     rows = [(i, f"/ws/{w}/{p}", t, w) for i, (w, p, t) in enumerate([("a", "lib/k/m/A.js", one), ("a", "lib/k/B.js", two), ("b", "src/z/k/m/A.js", one), ("b", "src/z/k/B.js", two), ("b", "src/z/C.js", hand(23)), ("c", "k/B.js", two)])]
     trees = provenance.file_trees(spark.createDataFrame(rows, "pos int, file_path string, content string, workspace string"))
     assert sorted(map(tuple, provenance.shared_subtrees(trees).collect())) == [("a", "/ws/a/lib/k"), ("b", "/ws/b/src/z/k")]
+
+
+@pytest.mark.parametrize(
+    "head",
+    [
+        "// Ids are generated by the order service; this file only parses them.", "// Types adapted from the old billing module, ours.", "// This handler used to be copied from checkout.", "// Do not change",
+        "/* Reads what was generated by the nightly job. */", "// tests for code generated elsewhere", "// see the licence in our wiki", "# prices are imported from the ERP 2.0 feed", "// keep in sync: rows are written by the importer, edit there",
+    ],
+)
+def test_heads_that_only_mention_such_things(head):
+    assert provenance.sign("/ws/a/src/A.ts", f"{head}\n{hand(41)}\n".encode()) is None
+    assert provenance.sign("/ws/a/external/report/X.ts", f"{head}\n{hand(41)}\n".encode()) is None
+
+
+@pytest.mark.parametrize(
+    "head, origin",
+    [
+        ("// This file was generated by foo 1.2.", "generated"), ("/* eslint-disable */\n// Auto-generated from api.yaml", "generated"), ("# Generated from a.proto, please do not edit by hand", "generated"), ("// NOTE: generated code. DO NOT EDIT", "generated"),
+        ("/**\n * Fichier généré par outil.\n */", "generated"), ("// Diese Datei wurde automatisch erzeugt.", "generated"), ("// Código gerado por ferramenta", "generated"), ("// tool output. Changes will be lost.", "generated"),
+        ("// Copied from https://lib.example/a.js", "vendored"), ("/* vendored verbatim from thing */", "vendored"), ("// Taken from lib@2.1", "vendored"), ("// thing 1.2.3", "vendored"),
+    ],
+)
+def test_heads_that_tell_of_the_file(head, origin):
+    assert provenance.signs("/ws/a/src/A.ts", f"{head}\n{hand(42)}\n".encode()) == (origin, "head")
+
+
+def test_what_shows_an_origin(spark):
+    one, two, idiom = hand(51, 20), hand(52, 20), "\n".join(["import a from 'a';", "import b from 'b';", "import c from 'c';", "import d from 'd';", "import e from 'e';"])
+    touched = "\n".join(x if i % 9 != 4 else f"    own{i}();" for i, x in enumerate(one.split("\n")))
+    rows = [
+        (1, "/ws/a/src/m/A.js", one, "a"), (2, "/ws/b/src/n/B.js", "// lib\r\n" + one.replace("\n", "\r\n  "), "b"), (3, "/ws/c/x/y/z/C.js", touched, "c"),
+        (4, "/ws/d/k/lib/D.js", two, "d"), (5, "/ws/d/k/lib/in/short.js", "export * from 'd';", "d"), (6, "/ws/e/lib/D.js", two, "e"), (7, "/ws/e/lib/in/short.js", "export * from 'd';", "e"),
+        (8, "/ws/f/short.js", "export * from 'd';", "f"), (9, "/ws/a/src/own.js", idiom + "\n" + hand(53, 6), "a"), (10, "/ws/b/src/own.js", idiom + "\n" + hand(54, 6), "b"),
+        (11, "/ws/a/again/A.js", hand(55), "a"), (12, "/ws/a/other/A.js", hand(55), "a"), (13, "/ws/g/gen/A.js", "// @generated\n" + one, "g"), (14, "/ws/h/node_modules/own/A.js", hand(56), "h"), (15, None, one, None),
+    ]
+    df = spark.createDataFrame(rows, "pos int, file_path string, content string, workspace string").selectExpr("*", "'clash' as via", "1 as n_leaves", "2 as directory")
+    got = {r.pos: (r.origin, r.via) for r in provenance.file_origins(df).collect()}
+    copy = ("vendored", "subtree")
+    assert got == {
+        1: copy, 2: copy, 3: ("vendored", "leaves"), 4: copy, 5: copy, 6: copy, 7: copy, 8: ("hand", None), 9: ("hand", None), 10: ("hand", None),
+        11: ("hand", None), 12: ("hand", None), 13: ("generated", "head"), 14: ("vendored", "path"), 15: copy,
+    }
+
+
+def test_longest_run(spark):
+    got = spark.createDataFrame([([],), ([3],), ([0, 1, 2, 5, 6],), ([1, 3, 4, 5, 6, 9],)], "x array<int>").select(provenance._longest_run(F.col("x"))).collect()
+    assert [r[0] for r in got] == [0, 1, 3, 4]
