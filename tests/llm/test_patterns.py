@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from quarrykit.llm import cooccur, neardup, termfreq
@@ -137,3 +138,40 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (7, 200)]
     got = {r.node: r.component for r in neardup.connected_groups(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 200: 0, 100: 100, 101: 100}
+
+
+@pytest.mark.parametrize("crowd,piece", [(3, 1), (3, 7), (50, 1000), (2, 5)])
+def test_bucket_pairs(crowd, piece):
+    rng = random.Random(crowd * piece)
+    rows = sorted((rng.choice([-5, 0, 1, 2, 3, 9, 9, 9, 9]), rng.randrange(40)) for _ in range(120))
+    made, pairs, crowded = neardup._BucketPairs(crowd), set(), set()
+    for at in range(0, len(rows), piece):
+        bucket, own = np.array(rows[at : at + piece], np.int64).T
+        a, b, c = made.add(bucket, own)
+        pairs |= set(zip(a.tolist(), b.tolist()))
+        crowded |= set(c.tolist())
+    a, b, c = made.add(np.zeros(0, np.int64), np.zeros(0, np.int64), last=True)
+    pairs |= set(zip(a.tolist(), b.tolist()))
+    crowded |= set(c.tolist())
+    classes = {}
+    for bucket, own in rows:
+        classes.setdefault(bucket, set()).add(own)
+    assert pairs == {p for c in classes.values() if len(c) <= crowd for p in itertools.combinations(sorted(c), 2)}
+    assert crowded == {x for c in classes.values() if len(c) > crowd for x in c}
+
+
+def test_crowded_buckets_leave_where_they_are_made(spark):
+    # 300 texts with one half in common: every band of that half is crowded
+    half = " ".join(f"s{i}" for i in range(40))
+    rows = [(i, half + " " + " ".join(f"u{i // 2}x{j}" for j in range(14)) + (" end" if i % 2 else "")) for i in range(300)]
+    df = spark.createDataFrame(rows, "key bigint, text string").repartition(3)
+    found = neardup.NearDuplicates(df, "key", "text", words=2, similarity=(4, 5), hot_bucket=8)
+    assert found.band_rows().where("bucket IS NULL").count() > 0
+    assert found.band_rows().where("bucket IS NOT NULL").groupBy("bucket").count().agg({"count": "max"}).first()[0] <= 3 * 9
+    assert {(r.key_a, r.key_b) for r in found.pairs().collect()} == brute(rows, 2, 4, 5)
+
+
+def test_long_chains(spark):
+    edges = [(i, i + 1) for i in range(300)]
+    got = neardup.connected_groups(spark.createDataFrame(edges, "a bigint, b bigint")).select("component").distinct().collect()
+    assert [r[0] for r in got] == [0]
