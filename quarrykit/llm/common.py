@@ -1,7 +1,11 @@
 """What several operators of this subpackage share."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +51,17 @@ class SpanHash:
         return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def by_bytes(batch: pa.RecordBatch, column: int, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose texts in ``column`` have about ``limit`` bytes; a longer text comes alone, and whole."""
+    size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
+    stop = np.cumsum(size)
+    at = 0
+    while at < batch.num_rows:
+        last = max(at + 1, int(np.searchsorted(stop, stop[at] - size[at] + limit, side="right")))
+        yield batch.slice(at, last - at)
+        at = last
+
+
 def current_patterns(patterns: DataFrame, *columns: str) -> DataFrame:
     """The row with the greatest ``seq`` of each ``id``, with ``seq`` and ``columns``.
 

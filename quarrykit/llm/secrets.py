@@ -1,12 +1,12 @@
 """Problem 5: literal credentials in source and configuration text, and their redaction.
 
-Assignments, calls, map entries, nested and indented settings, elements, escaped
-JSON, connection strings, placeholders with defaults and commented settings are
-read as keys with the byte offsets of their values; ``key_paths`` gives the full
-path. A value counts if its key, or the key of the block it is the value of, is
-a sensitive name and its shape is not that of a stand-in, reference or phrase,
-or if its shape alone gives it away. Redaction splices a mask over the value's
-bytes only.
+A text is parsed into key paths with byte offsets, whatever format it is in:
+maps, calls, nested and indented settings, sections, elements, attributes, and
+what stands in its literals and comments, such as escaped JSON, connection
+strings and placeholders with defaults. A value counts if the last name of its
+path, or the name above a ``value`` or ``default``, is a sensitive one and its
+shape is not that of a stand-in, reference or phrase, or if its shape alone
+gives it away. Redaction splices a mask over the value's bytes only.
 """
 from __future__ import annotations
 
@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrykit.llm.common import by_bytes
+
 #: Token shapes that services give out.
 SHAPES = re.compile(
     rb"""(?<![A-Za-z0-9_-])(?:
@@ -40,10 +42,16 @@ SHAPE_STARTS = [
     b"AIza", b"eyJ", b"SG.", b"npm_", b"pypi-", b"hf_", b"dckr_pat_", b"shpat_", b"shpca_", b"shppa_", b"shpss_", b"sk-", b"dop_v1_", b"ya29.",
 ]
 #: The last part of names (lower case) whose values give access. ``pass`` needs a word boundary.
-ANCHOR = re.compile(
+SENSITIVE = (
     rb"(?:passw(?:or[dt]|d)|pass(?:phrase|code|key)|mot_?de_?passe|pass|pwd|kennwort|contrasena|senha|secret|token|credentials?"
     rb"|(?:api|app|access|signing|encryption|account|private|master|auth|shared|service|ssh|license|secret)[_-]?key)(?![a-z0-9_$])"
 )
+#: A text without one of these holds no sensitive name.
+ANCHOR = re.compile(SENSITIVE)
+SENSITIVE_END = re.compile(SENSITIVE + rb"\Z")
+#: Names of the value of a setting that is a block.
+LEAF_NAME = re.compile(rb"(?i)(?:value|default|plain(?:text)?|literal|raw)\Z")
+NAME = re.compile(rb"[A-Za-z_$][\w$]*(?:[.-]+[\w$]+)*")
 KEY_BLOCK = re.compile(rb"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 KEY_BLOCK_END = re.compile(rb"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 USERINFO = re.compile(rb"://[^\s/\"'`:@<>{}]*:([^\s/\"'`@<>]{3,})@[\w.-]")
@@ -52,17 +60,20 @@ LITERAL = rb"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`"
 #: From the end of a name to the first literal of its value: an optional type, an
 #: operator and perhaps a reference that the literal is the fallback of; or a call or list.
 VALUE = re.compile(
-    rb"""(?P<key>["'`]?)\s*\]?\s*
-    (?: (?::\s{0,4}[A-Za-z_][\w.<>\[\]|]{0,40}\s{0,4})?(?::=|===?|!==?|=>|=|:)\s*
-        (?:[A-Za-z_][\w.]{0,80}(?:\([^()\n]{0,120}\)|\[[^\]\n]{0,120}\])?\s*(?:\|\||\?\?|\bor\b|\?:)\s*)?
-      | (?P<call>\(\s*) | (?P<list>,\s*) )
+    rb"""(?P<key>["'`]?)\s*+\]?\s*+
+    (?: (?::\s*+[A-Za-z_][\w.<>\[\]|]*+\s*+)?(?::=|===?|!==?|=>|=|:)\s*+
+        (?:[A-Za-z_](?:[\w.]|\?\.|\([^()\n]*+\)|\[[^\]\n]*+\])*+\s*+(?:\|\||\?\?|\bor\b|\?:)\s*+)?
+      | (?P<call>\(\s*+) | (?P<list>,\s*+) )
     (?:[bruf]{1,2}(?=["']))?(?P<value>""" + LITERAL + rb")",
     re.X | re.S,
 )
 PIECE = re.compile(rb"\s*(?:\+|\.\s(?=[\"'`])|\\\n)\s*(" + LITERAL + rb")", re.S)
 ESCAPED = re.compile(rb"\\([\"'])\s*:\s*\\\1((?:[^\"'\\]|\\(?![\"']).)+?)\\\1")
 DEFAULT = re.compile(rb"\s*:-?([^}\"'\s]{4,})\}")
-UNQUOTED = re.compile(rb"[ \t]*([:=])[ \t]*([^\s\"'`,;)<>&]{4,})")
+UNQUOTED = re.compile(rb"[ \t]*([:=])[ \t]*([^\s\"'`,;)<>]{4,})")
+#: A pair of a connection string, which only a semicolon or the end of the string ends.
+PAIR = re.compile(rb"=([^\s\"'`;]{4,})(?=[;\"'`])")
+BRACKETS = re.compile(rb"[(){}\[\]]")
 #: A line that is nothing but a name, a separator and a value without quotes, and perhaps a comment.
 SETTING = re.compile(rb"(?P<gap>[ \t]*)[:=](?P<next>[ \t]*)(?P<value>[^\s\"'`=:>,;][^\s]*)(?=[ \t]*\r?(?:\n|\Z)|[ \t]+(?:#|//|--|;))")
 #: What code, rather than a setting, has for a value: a name or type, a call or list, the open end of an expression.
@@ -70,7 +81,7 @@ REFERENCE = re.compile(rb"[A-Za-z_]+\d{0,3}(?:[A-Z_.][A-Za-z_.]*\d{0,3})*")
 CALL = re.compile(rb"[&*!]*[A-Za-z_]?[\w.]*[(\[{]")
 OPEN_END = re.compile(rb"[,;(\[{)}\]|&+\\\"'`]$")
 SIGN_INSIDE = re.compile(rb"\d|\w[!@#$%^~]+\w")
-AFTER_KEY_ID = re.compile(rb"[\"'`]?[\s,;)+]{0,12}(?:[^\n\"'`]*\n)?[^\n\"'`]*(" + LITERAL + rb")")
+AFTER_KEY_ID = re.compile(rb"[\"'`]?[\s,;)+]*+(?:[^\n\"'`]*\n)?[^\n\"'`]*(" + LITERAL + rb")")
 COMMENT = re.compile(rb"(?<!:)//|#|^\s*\*|/\*|--|<!--")
 LEADING = re.compile(rb"^\s*(?:export\s+|-\s+)?$")
 #: What a stand-in contains or is.
@@ -82,26 +93,24 @@ STAND_IN = re.compile(
 HEADER_NAME = re.compile(rb"^[A-Z][A-Za-z0-9]*(?:-[A-Z][A-Za-z0-9]*)+$")
 IDENTIFIER = re.compile(rb"^[a-z][a-z0-9]*(?:[._-][a-z][a-z0-9]*)*$|^[A-Z][A-Z0-9]*(?:_[A-Z][A-Z0-9]*)*$")
 #: A setting that is an element: <password>value</password>.
-ELEMENT = re.compile(rb">[ \t]*([^<>\s]{5,})[ \t]*</")
+ELEMENT = re.compile(rb"(?:\s[^<>\n]*)?>[ \t]*([^<>\s]{5,})[ \t]*</")
 #: A setting named by one attribute and given by another.
-ATTRIBUTE = re.compile(rb"[\"']\s+(?:value|content)\s*=\s*(" + LITERAL + rb")")
-#: A setting whose value is a leaf of the block below its name, in brackets or by indentation.
-BLOCK = re.compile(rb"[\"'`]?\s*(?::|=>?)\s*\{([^{}]*)\}")
-INDENTED = re.compile(rb"[\"']?[ \t]*:[ \t]*(?P<scalar>[|>][+-]?)?[ \t]*\r?\n")
-#: What such a leaf is called.
-LEAF = re.compile(rb"[\"'`]?\b(?:value|default|plain(?:text)?|literal|raw)[\"'`]?[ \t]*(?::|=>?)[ \t]*(?:(?P<quoted>" + LITERAL + rb")|(?P<bare>[^\s\"'`,{}]+))")
+ATTRIBUTE = re.compile(rb"[\"']\s+(?P<leaf>value|content)\s*=\s*(?P<value>" + LITERAL + rb")")
+#: A block scalar: the value is the first line below, further in than the key.
+SCALAR = re.compile(rb"[\"']?[ \t]*:[ \t]*[|>][+-]?[ \t]*\r?\n(?:[ \t]*\r?\n)*(?P<pad>[ \t]+)(?P<body>\S[^\r\n]*?)[ \t]*(?=\r?\n|\Z)")
+#: What is bound to a leaf of a block: a literal, or a word up to a blank or bracket.
+LEAF_VALUE = re.compile(rb"[\"'`]?[ \t]*(?::|=>?)[ \t]*(?:(?P<quoted>" + LITERAL + rb")|(?P<bare>[^\s\"'`,{}]+))")
 #: What key paths are read from: line starts, literals, names, brackets, separators and section headings.
 TOKEN = re.compile(
     rb"(?P<section>^\[[\w. -]+\][ \t]*\r?$)|\n(?P<pad>[ \t]*)|(?P<text>" + LITERAL + rb")|(?P<name>[A-Za-z_$][\w$.-]*)|(?P<open>[\[({])|(?P<close>[\])}])|(?P<sep>[:=]+)|(?P<end>[,;])",
     re.M | re.S,
 )
-INNER = re.compile(rb"([A-Za-z_][\w.-]*)(?:\\?[\"'])?\s*[:=]\s*(?:\\?[\"'])?$")
-TAG = re.compile(rb"^<([A-Za-z_][\w.:-]*)[^<>]*>[ \t]*$")
 #: What stands between the names of a path, and what such a name consists of; a random string has lone lower-case letters.
 PATH_BREAK = re.compile(rb"[/._~@%#&-]+")
 PATH_NAME = re.compile(rb"[a-z0-9]*|[A-Z0-9]+|(?:v\d++|[A-Z]?[a-z]{2,}+|[A-Z]{1,4}+|\d++)+")
 PATTERN_SIGN = re.compile(rb"[\\^$(){}\[\]|*?<>:]")
-MASK = b"*"
+#: What each byte of a value becomes: a plain scalar in every format, also without quotes.
+MASK = b"x"
 NOT_LINE_END = re.compile(rb"[^\r\n]")
 
 
@@ -129,7 +138,7 @@ def secret_value(value: bytes) -> bool:
 
 def _bare_value(value: bytes) -> bool:
     """A stricter test for values without quotes, where a reference to a variable is more likely."""
-    if not secret_value(value) or len(value) < 6 or re.search(rb"[(){}\[\]]", value):
+    if not secret_value(value) or len(value) < 6 or BRACKETS.search(value):
         return False
     return bool(re.search(rb"[^\w.]", value)) or (bool(re.search(rb"\d", value)) and not re.fullmatch(rb"[A-Za-z]+\d?", value))
 
@@ -149,71 +158,25 @@ def _setting_value(value: bytes, tight: bool) -> bool:
     return not re.fullmatch(rb"[A-Za-z_]\w*(?:\??\.[A-Za-z_]\w*)+!?", value)
 
 
-def _nested_values(text: bytes, begin: int, end: int) -> Iterator[tuple[int, int]]:
-    """(start, stop) of the values that the block below a sensitive name holds, whatever format the block is in.
-
-    ``begin`` and ``end`` are those of the name's last part. A block is an
-    element, a pair of attributes, a bracketed map or the lines indented below
-    the name; of the latter two a leaf called ``value``, ``default`` or the like counts.
-    """
-    if m := ELEMENT.match(text, end) or ATTRIBUTE.match(text, end):
-        quoted = m.re is ATTRIBUTE
-        yield m.start(1) + quoted, m.end(1) - quoted
-    elif m := BLOCK.match(text, end):
-        for leaf in LEAF.finditer(text, m.start(1), m.end(1)):
-            if leaf.group("quoted"):
-                yield leaf.start("quoted") + 1, leaf.end("quoted") - 1
-    elif m := INDENTED.match(text, end):
-        line = text[text.rfind(b"\n", 0, begin) + 1 : begin]
-        base, at = len(line) - len(line.lstrip(b" \t")), m.end()
-        while at < len(text):
-            stop = text.find(b"\n", at)
-            stop = len(text) if stop < 0 else stop
-            body = text[at:stop].strip()
-            first = at + len(text[at:stop]) - len(text[at:stop].lstrip())
-            if body and first - at <= base:
-                return
-            if body and m.group("scalar"):
-                yield first, first + len(body)
-                return
-            if leaf := LEAF.match(text, first, stop):
-                quoted = leaf.lastgroup == "quoted"
-                yield leaf.start(leaf.lastgroup) + quoted, leaf.end(leaf.lastgroup) - quoted
-            at = stop + 1
-
-
-def key_paths(text: bytes, places: list[int]) -> dict[int, str]:
-    """The key path of each place in ``text``: the names of the blocks, sections and keys around it, joined by dots.
+def walk(text: bytes) -> Iterator[tuple[str, int, int, list[tuple[int, bytes]], bytes]]:
+    """The names and literals of ``text`` in order, each with the blocks around it and the key it is bound to.
 
-    Blocks are brackets of any kind, indentation below a key and headings in
-    square brackets, so that maps, calls, classes and the usual configuration
-    formats are read alike. A place without a name around it has an empty path;
-    a literal that holds a place itself names nothing, so no path shows a value.
-    Inside a literal and of an element only a name within 120 bytes is read.
+    Yields (kind, start, stop, scopes, key), kind being ``name`` or ``text``;
+    ``scopes`` is a list that goes on changing. Blocks are brackets of any kind,
+    indentation below a key and headings in square brackets, so that maps,
+    calls, classes and the usual configuration formats are read alike.
     """
-    paths: dict[int, str] = {}
-    wanted = sorted(set(places), reverse=True)
     scopes: list[tuple[int, bytes]] = []
     name = key = b""
     kind, typed, called = "", False, b""
     indent = len(text) - len(text.lstrip(b" \t"))
     for m in TOKEN.finditer(text):
-        hidden = False
-        while wanted and wanted[-1] < m.end():
-            place = wanted.pop()
-            hidden = hidden or place >= m.start()
-            parts = [part for _, part in scopes] + [key]
-            label = text[max(m.start() + 1, place - 120) : place] if m.lastgroup == "text" else b""
-            tag = text.rfind(b"<", max(0, place - 120), place)
-            if inner := INNER.search(label) or (TAG.search(text[tag:place]) if tag >= 0 else None):
-                parts.append(inner.group(1))
-            paths[place] = b".".join(part for part in parts if part).decode("utf-8", "replace")
-        if not wanted:
-            break
         before, kind = kind, m.lastgroup
         token = m.group(kind)
+        if kind in ("name", "text"):
+            yield kind, m.start(), m.end(), scopes, key
         if kind == "section":
-            scopes, name, key = [(-1, token.strip()[1:-1])], b"", b""
+            scopes[:], name, key = [(-1, token.strip()[1:-1])], b"", b""
         elif kind == "pad":
             if text[m.end() : m.end() + 1] not in (b"\r", b"\n", b""):
                 if before == "sep" and len(token) > indent:
@@ -226,7 +189,7 @@ def key_paths(text: bytes, places: list[int]) -> dict[int, str]:
         elif kind == "name":
             name = token
         elif kind == "text":
-            called, name = (token[1:-1] if key == b"name" else called), b"" if hidden else token[1:-1]
+            called, name = (token[1:-1] if key == b"name" else called), token[1:-1]
         elif kind == "open":
             scopes.append((-2, (key if before == "sep" else name if before in ("name", "close") else b"")))
             name = key = b""
@@ -237,7 +200,7 @@ def key_paths(text: bytes, places: list[int]) -> dict[int, str]:
             name, key = closed[1] if token == b")" else b"", b""
         elif kind == "sep":
             attribute = called and name in (b"value", b"content")
-            key = called + b"." + name if attribute else key if token == b"=" and before == "name" and typed and not ANCHOR.search(name.lower()) else name
+            key = called + b"." + name if attribute else key if token == b"=" and before == "name" and typed and not _sensitive(name) else name
             called = called if name == b"name" else b""
         elif token == b"," and before == "text" and scopes and scopes[-1][0] == -2:
             key = name
@@ -245,7 +208,89 @@ def key_paths(text: bytes, places: list[int]) -> dict[int, str]:
             key = b""
         if kind in ("sep", "end", "open", "close", "section"):
             typed = token == b":"
-    return {place: paths.get(place, "") for place in places}
+
+
+def _sensitive(name: bytes) -> bool:
+    """Whether a name ends in a word whose values give access."""
+    m = SENSITIVE_END.search(name.lower())
+    if not m or m.group() != b"pass":
+        return bool(m)
+    at, before = m.start(), name[m.start() - 1 : m.start()]
+    return not before.isalnum() or (name[at : at + 1] == b"P" and before.islower())
+
+
+def keys(text: bytes) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+    """(path, begin, end) of every name in ``text`` that is or stands below a sensitive one.
+
+    ``begin`` and ``end`` are the byte offsets of the name, the last of the
+    path. Names in literals and comments are read like others, so that a setting
+    inside a string has the string's own key above it.
+    """
+    for kind, start, stop, scopes, key in walk(text):
+        inner = kind == "text"
+        if inner and not ANCHOR.search(text[start:stop].lower()) and not LEAF_NAME.match(text, start + 1, stop - 1):
+            continue
+        for m in NAME.finditer(text, start + inner, stop - inner):
+            own = m.group()
+            own_is = _sensitive(own)
+            if own_is or (LEAF_NAME.match(own) and scopes and _sensitive(scopes[-1][1])):
+                # an attribute called name is not part of a path, what it names is
+                above = [part for _, part in scopes] + ([key] if inner and key != b"name" else [])
+                yield (*(part for part in above if part), own), m.start(), m.end()
+
+
+def _bound(text: bytes, path: tuple[bytes, ...], begin: int, end: int) -> Iterator[tuple[tuple[bytes, ...], list[tuple[int, int]]]]:
+    """(path, spans of its pieces) of the values that stand behind a sensitive key, if their shape is right."""
+    if not _sensitive(path[-1]):
+        # a leaf of the block that the sensitive name above is
+        if m := LEAF_VALUE.match(text, end):
+            quoted = m.lastgroup == "quoted"
+            start, stop = m.start(m.lastgroup) + quoted, m.end(m.lastgroup) - quoted
+            if secret_value(text[start:stop]):
+                yield path, [(start, stop)]
+        return
+    if text[begin - 1 : begin] == b"<" and (m := ELEMENT.match(text, end)) and secret_value(m.group(1)):
+        yield path, [m.span(1)]
+    if (m := ATTRIBUTE.match(text, end)) and secret_value(m.group("value")[1:-1]):
+        yield (*path, m.group("leaf")), [(m.start("value") + 1, m.end("value") - 1)]
+    if m := SCALAR.match(text, end):
+        line = text[text.rfind(b"\n", 0, begin) + 1 : begin]
+        if len(m.group("pad")) > len(line) - len(line.lstrip(b" \t")) and secret_value(m.group("body")):
+            yield path, [m.span("body")]
+    follow = text[end : end + 1]
+    if follow == b"" or follow in b".)}>+*/?&|":
+        return
+    m = VALUE.match(text, end)
+    if m and (m.group("list") is None or m.group("key")):
+        pieces = [(m.start("value") + 1, m.end("value") - 1)]
+        more = PIECE.match(text, m.end("value"))
+        while more:
+            pieces.append((more.start(1) + 1, more.end(1) - 1))
+            more = PIECE.match(text, more.end(1))
+        if secret_value(b"".join(text[a:b] for a, b in pieces)):
+            yield path, pieces
+        return
+    if (m := ESCAPED.match(text, end)) and secret_value(m.group(2)):
+        yield path, [m.span(2)]
+    line = text.rfind(b"\n", 0, begin) + 1
+    if (m := DEFAULT.match(text, end)) and text.rfind(b"${", line, begin) > text.rfind(b"}", line, begin) and secret_value(m.group(1)):
+        yield path, [m.span(1)]
+    prefix, edge = text[line:begin], text[begin - 1 : begin] if begin > line else b""
+    m, setting = UNQUOTED.match(text, end), SETTING.match(text, end)
+    if setting and LEADING.match(prefix) and _setting_value(setting.group("value"), text[setting.end("gap") : setting.start("value")] == b"=" and not setting.group("gap")):
+        yield path, [setting.span("value")]
+    if edge and edge in b";\"'`" and (pair := PAIR.match(text, end)) and not CALL.match(pair.group(1)) and _bare_value(BRACKETS.sub(b"", pair.group(1))):
+        yield path, [pair.span(1)]
+    elif m:
+        stop = m.end(2)
+        if edge in (b"?", b"&"):
+            # in the query of an address the next parameter ends the value
+            stop = m.start(2) + (m.group(2) + b"&").index(b"&")
+        value = text[m.start(2) : stop]
+        if len(value) >= 4 and _bare_value(value):
+            whole = text[stop : stop + 2].lstrip(b"\r")[:1] in (b"", b"\n")
+            if COMMENT.search(prefix) or (m.group(1) == b"=" and edge and edge in b";?&\"'`") or (LEADING.match(prefix) and whole and len(value) >= 12):
+                yield path, [(m.start(2), stop)]
 
 
 def find_credentials(text: bytes) -> list[tuple[int, int, int]]:
@@ -255,7 +300,13 @@ def find_credentials(text: bytes) -> list[tuple[int, int, int]]:
     whatever rules meet at it; spans never overlap and are in order. The whole
     text is read, however long it or its lines are. Offsets are in bytes of UTF-8.
     """
+    return [x[:3] for x in find_keyed(text)]
+
+
+def find_keyed(text: bytes) -> list[tuple[int, int, int, tuple[bytes, ...] | None]]:
+    """``find_credentials`` with the key path that each value was found by; null where its shape alone gave it away."""
     found: dict[int, tuple[int, int]] = {}
+    named: dict[int, tuple[bytes, ...]] = {}
 
     def add(start: int, stop: int, place: int | None = None) -> None:
         old = found.get(start)
@@ -286,57 +337,37 @@ def find_credentials(text: bytes) -> list[tuple[int, int, int]]:
             value = text[m.start(1) : m.end(1)]
             if not STAND_IN.search(value) and re.search(rb"\d|[A-Z].*[a-z].*[A-Z]", value) and not IDENTIFIER.match(value):
                 add(m.start(1), m.end(1))
-    for anchor in ANCHOR.finditer(low):
-        begin, end = anchor.start(), anchor.end()
-        if end - begin == 4 and anchor.group() == b"pass":
-            before = text[begin - 1 : begin]
-            if not (text[begin : begin + 1] == b"P" and before.isalnum() and before.islower() or not before.isalnum()):
-                continue
-        for start, stop in _nested_values(text, begin, end):
-            if secret_value(text[start:stop]):
-                add(start, stop)
-        follow = text[end : end + 1]
-        if follow == b"" or follow in b".)}>+*/?&|":
-            continue
-        m = VALUE.match(text, end)
-        if m and (m.group("list") is None or m.group("key")):
-            pieces = [(m.start("value") + 1, m.end("value") - 1)]
-            more = PIECE.match(text, m.end("value"))
-            while more:
-                pieces.append((more.start(1) + 1, more.end(1) - 1))
-                more = PIECE.match(text, more.end(1))
-            if secret_value(b"".join(text[a:b] for a, b in pieces)):
-                for i, (a, b) in enumerate(pieces):
-                    add(a, b, None if i == 0 else -1)
-            continue
-        for pattern, group in ((ESCAPED, 2), (DEFAULT, 1)):
-            m = pattern.match(text, end)
-            if m and secret_value(m.group(group)) and (pattern is ESCAPED or b"${" in text[max(0, begin - 200) : begin]):
-                add(m.start(group), m.end(group))
-        m, setting = UNQUOTED.match(text, end), SETTING.match(text, end)
-        bare = m and _bare_value(m.group(2))
-        if setting and not _setting_value(setting.group("value"), text[setting.end("gap") : setting.start("value")] == b"=" and not setting.group("gap")):
-            setting = None
-        if bare or setting:
-            line = text.rfind(b"\n", 0, begin) + 1
-            name = begin
-            while name > line and (text[name - 1 : name].isalnum() or text[name - 1 : name] in b"_.$-"):
-                name -= 1
-            prefix, edge = text[line:name], text[name - 1 : name]
-            if setting and LEADING.match(prefix):
-                add(setting.start("value"), setting.end("value"))
-        if bare:
-            whole = text[m.end() : m.end() + 2].lstrip(b"\r")[:1] in (b"", b"\n")
-            if COMMENT.search(prefix) or (m.group(1) == b"=" and edge and edge in b";?&\"'`") or (LEADING.match(prefix) and whole and len(m.group(2)) >= 12):
-                add(m.start(2), m.end(2))
+    if ANCHOR.search(low):
+        for at, begin, end in keys(text):
+            for path, pieces in _bound(text, at, begin, end):
+                for i, (start, stop) in enumerate(pieces):
+                    add(start, stop, None if i == 0 else -1)
+                    named.setdefault(start, path)
     done, last = [], -1
     for start, (stop, place) in sorted(found.items()):
         if start >= last:
-            done.append((place, start, stop))
+            done.append((place, start, stop, named.get(start)))
             last = stop
     return done
 
 
+def key_paths(text: bytes, places: list[int]) -> dict[int, str]:
+    """The key path of each place in ``text``: the names of the blocks, sections and keys around it, joined by dots.
+
+    A value that was found by its key has that key's path; any other place has
+    the path of the literal that it is in, or that comes next. A place without
+    a name around it has an empty path, and no path shows a value.
+    """
+    paths = {start: path for _, start, _, path in find_keyed(text) if path} if places else {}
+    left = sorted(p for p in set(places) if p not in paths)
+    for _, _, stop, scopes, key in walk(text) if left else ():
+        while left and left[0] < stop:
+            paths[left.pop(0)] = tuple(part for part in (*(part for _, part in scopes), key) if part)
+        if not left:
+            break
+    return {p: b".".join(paths.get(p, ())).decode("utf-8", "replace") for p in places}
+
+
 def credential_lines(text: bytes) -> list[int]:
     """Numbers, from 1, of the lines on which a credential begins; lines end at LF."""
     lines, at, n = [], 0, 1
@@ -388,7 +419,8 @@ def _over_texts(df: DataFrame, key: str, text: str, schema: str, build) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield build(batch.column(0), batch.column(1).cast(pa.large_binary()).to_pylist())
+            for part in by_bytes(batch, 1):
+                yield build(part.column(0), part.column(1).cast(pa.large_binary()).to_pylist())
 
     return source.mapInArrow(run, schema)
 

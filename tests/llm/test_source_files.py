@@ -1,4 +1,10 @@
 """Credentials and origins of source files."""
+import ast
+import configparser
+import json
+import tomllib
+import xml.etree.ElementTree
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,7 +54,7 @@ def test_found(text):
 def test_settings_without_quotes(line, value):
     for before, after in (("", ""), ("a: 1\n", "\nb: 2\n")):
         text = (before + line + after).encode()
-        assert secrets.redact(text) == text.replace(value.encode(), b"*" * len(value))
+        assert secrets.redact(text) == text.replace(value.encode(), secrets.MASK * len(value))
 
 
 @pytest.mark.parametrize(
@@ -72,7 +78,7 @@ def test_shapes_after_any_character(before):
 @pytest.mark.parametrize("value", ["/9eMk0uSL8gRFoJEU6W3/0b/6ho=", "/k3Lq9ZtVbW1x8Pn", "/uWxQzLpKdGhTbNcYe+a", "//8aZq0LmW7yT=="])
 def test_values_that_begin_with_a_slash(value):
     text = f'send("a", pwd="{value}");'.encode()
-    assert secrets.redact(text) == text.replace(value.encode(), b"*" * len(value))
+    assert secrets.redact(text) == text.replace(value.encode(), secrets.MASK * len(value))
 
 
 @pytest.mark.parametrize("value", ["/run/secrets/db_password", "/api/v2/getUserToken", "/etc/ssl/HTTPServer2.pem", "/reset?page=a1B2c3", "/users/:id/apiKey9", "/^[a-z]{8}$/", "/Users/ann/.ssh/id_rsa", "/opt/app-1.2.3/conf"])
@@ -90,9 +96,9 @@ def test_redaction_touches_values_only():
         raw = ("ä" + text).encode()
         clean = secrets.redact(raw)
         assert len(clean) == len(raw) and clean.count(b"\n") == raw.count(b"\n") and clean != raw
-        assert all(a == b or b == ord("*") for a, b in zip(raw, clean))
+        assert all(a == b or b == ord(secrets.MASK) for a, b in zip(raw, clean))
         assert secrets.credential_lines(clean) in ([], [n for n in FOUND[text] if BLOCK in text])
-    assert secrets.redact(b'f("a", pwd="Zk39!mmQp1", b)') == b'f("a", pwd="**********", b)'
+    assert secrets.redact(b'f("a", pwd="Zk39!mmQp1", b)') == b'f("a", pwd="xxxxxxxxxx", b)'
 
 
 def test_tables(spark):
@@ -126,7 +132,7 @@ def test_key_paths(text, path):
     data = "é\n".encode() + text.encode()
     place, start, stop = secrets.find_credentials(data)[0]
     assert secrets.key_paths(data, [start]) == {start: path} and place == start
-    assert secrets.redact(data) == data[:start] + b"*" * (stop - start) + data[stop:]
+    assert secrets.redact(data) == data[:start] + secrets.MASK * (stop - start) + data[stop:]
 
 
 @pytest.mark.parametrize("text", ["password:\n  min: 8\n  value: ${DB_PASSWORD}\n", '{"password": {"min": 8, "value": "changeme"}}', "compass: { value: 'Zx81kLmn22' }", "<password>...</password>", "token:\nvalue: Zx81kLmn22\n"])
@@ -254,3 +260,77 @@ def test_what_shows_an_origin(spark):
 def test_longest_run(spark):
     got = spark.createDataFrame([([],), ([3],), ([0, 1, 2, 5, 6],), ([1, 3, 4, 5, 6, 9],)], "x array<int>").select(provenance._longest_run(F.col("x"))).collect()
     assert [r[0] for r in got] == [0, 1, 3, 4]
+
+
+@pytest.mark.parametrize(
+    "text, value",
+    [
+        ("private final com.example.platform.security.credentials.OpaqueSecretHolder apiKey = \"Zx81kLmn22\";", "Zx81kLmn22"),
+        ("apiKey: platform.security.credentials.holders.OpaqueSecretHolderOfSomeKind = \"Zx81kLmn22\"", "Zx81kLmn22"),
+        ("@Value(\"${" + "deeply.nested." * 30 + "db.password:s3cr3tValue9}\")", "s3cr3tValue9"),
+        ("password = configuration.section('" + "a" * 200 + "').get || \"q9Lm!zz81\"", "q9Lm!zz81"),
+        ("open(\"Server=db;Pwd=aB&x9)k,2<z;Timeout=30\")", "aB&x9)k,2<z"),
+        ("get(\"https://h.example/x?token=f81Kd92mQzXl0pRt&page=2\")", "f81Kd92mQzXl0pRt"),
+        ("// old storageKey= \n// apiKey=Tq98S%Fcgn&n", "Tq98S%Fcgn&n"),
+    ],
+)
+def test_values_however_far_from_their_names(text, value):
+    raw = text.encode()
+    assert secrets.redact(raw) == raw.replace(value.encode(), secrets.MASK * len(value))
+
+
+def parsed(name, text):
+    if name == "yaml":
+        return pytest.importorskip("yaml").safe_load(text)
+    if name == "json":
+        return json.loads(text)
+    if name == "toml":
+        return tomllib.loads(text)
+    if name == "xml":
+        return [(e.tag, e.attrib, e.text) for e in xml.etree.ElementTree.fromstring(text).iter()]
+    if name == "ini":
+        read = configparser.ConfigParser(interpolation=None)
+        read.read_string(text)
+        return {k: dict(v) for k, v in read.items()}
+    return ast.dump(ast.parse(text))
+
+
+@pytest.mark.parametrize(
+    "name, text, values",
+    [
+        ("json", '{"db": {"user": "app", "password": "Zx81k\\"Lmn\\u00e922", "ports": [1, 2]}, "api_key": "q8Z!kd02mm"}', 2),
+        ("toml", '[mail]\nhost = "a"\npassword = "Zx81kLmn22"\n[api]\ntoken = \'q8Z!kd02mm\'\n', 2),
+        ("xml", '<conf><db-password>Zx81kLmn22</db-password><property name="api.token" value="q8Z!kd02mm"/><n>3</n></conf>', 2),
+        ("ini", "[db]\nuser = app\npassword = hunter2!Secret99\n[api]\ntoken: k9!Qz81mm\n", 2),
+        ("yaml", "db:\n  password: hunter2Secret99\n  list:\n    - api_key: 'q8Z!kd02mm'\n  token: |\n    Zx81kLmn22\n", 3),
+        ("python", "def f():\n    password = 'Zx81k' + \"Lm'n22\"\n    return call(api_key=\"q8Z!kd02mm\")\n", 3),
+    ],
+)
+def test_redacted_settings_parse_again(name, text, values):
+    raw = text.encode()
+    clean = secrets.redact(raw)
+    assert len(secrets.find_credentials(raw)) == values and secrets.find_credentials(clean) == []
+    before, after = repr(parsed(name, text)), repr(parsed(name, clean.decode()))
+    # the same structure, only the values are others
+    assert before != after and "xxxxx" in after
+    for word in ("Zx81", "q8Z!", "hunter2", "k9!Qz81"):
+        assert word not in after
+
+
+def test_redaction_is_what_the_keys_say(spark):
+    texts = [t for t in [*FOUND, *CLEAR]] + ["é " + t for t in FOUND] + [None, "", "x" * 5_000_000 + ' apiKey = "Zk39mmQp1aa"']
+    files = spark.createDataFrame(list(enumerate(texts)), "pos int, content string")
+    codes = spark.createDataFrame([], "seq bigint, code string")
+    spans = {}
+    for r in secrets.corpus_keys(files, codes).collect():
+        spans.setdefault(r.row_key, []).append((r.start, r.n_bytes))
+    for r in secrets.corpus_redacted(files, codes).collect():
+        want = (texts[r.row_key] or "").encode()
+        for start, n in spans.get(r.row_key, []):
+            want = want[:start] + secrets.NOT_LINE_END.sub(secrets.MASK, want[start : start + n]) + want[start + n :]
+        assert (r.text or "").encode() == want and r.n_masked == len(spans.get(r.row_key, []))
+
+
+def test_no_word_far_from_a_separator_is_a_value():
+    for text in ("password" + " " * 5000 + "x", "token: " + "A" * 5000, "secret" + "\n" * 5000 + '"abc1234x"', "key" * 5000, '"' + "token" * 3000):
+        assert secrets.find_credentials(text.encode()) == []
