@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from quarrykit.llm.bpe import encode
 from quarrykit.llm.cooccur import pattern_tag_pairs
-from quarrykit.llm.lookalike import look_alike_pairs
+from quarrykit.llm.lookalike import comparison_form, look_alike_forms, look_alike_pairs
 from quarrykit.llm.neardup import pattern_groups, pattern_pairs
 from quarrykit.llm.packing import container_fill, pack_documents
 from quarrykit.llm.provenance import file_origins, not_hand_written
@@ -73,7 +73,15 @@ def p8_found(spark, d):
     return look_alike_pairs(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_groups, p3_found, p3_origins, p4_found, p4_terms, p5_found, p5_keys, p5_redacted, p6_ids, p7_containers, p7_fill, p8_found)}
+def p8_forms(spark, d):
+    return look_alike_forms(table(spark, d, "documents"))
+
+
+def p8_comparison(spark, d):
+    return comparison_form(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_groups, p3_found, p3_origins, p4_found, p4_terms, p5_found, p5_keys, p5_redacted, p6_ids, p7_containers, p7_fill, p8_found, p8_forms, p8_comparison)}
 
 CURRENT = """current_row AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS rn FROM saved_pattern) WHERE rn = 1

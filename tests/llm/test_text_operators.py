@@ -216,3 +216,26 @@ def test_executors_need_no_copy_of_the_package(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", script, root], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert done.stdout.split() == ["2", "2", "0"], done.stderr[-2000:]
+
+
+def test_letters_of_other_scripts(spark):
+    table = lookalike.shape_table(spark)
+    for one, other in (("Ꭺdmin", "Admin"), ("ѵia", "via"), ("ⲟpen", "open"), ("ΡΑΥ", "PAY"), ("⼈", "人"), ("ﾊﾟ", "パ"), ("a b　c", "a b c")):
+        assert lookalike.visible(one, table) == lookalike.visible(other, table)
+    for one, other in (("α", "a"), ("г", "r"), ("ı", "i"), ("é", "e"), ("ß", "β"), ("ł", "l"), ("’", "'"), ("—", "ー"), ("O", "0"), ("l", "I"), ("𝐚", "a"), ("м", "m"), ("二", "ニ")):
+        assert lookalike.visible(one, table) != lookalike.visible(other, table)
+    assert all(len(v) == 1 for k, v in lookalike.confusable_letters(spark).items()) and lookalike.confusable_letters(None) == {}
+
+
+@pytest.mark.parametrize("part", [20_000, 2])
+def test_forms_and_pairs_agree(spark, monkeypatch, part):
+    monkeypatch.setattr(lookalike, "PART_ROWS", part)
+    rows = [(i, t) for i, t in enumerate(SAME * 3 + APART * 2)] + [(90, None), (91, ""), (92, " ​")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'clash' as form", "'clash' as parts")
+    forms = lookalike.look_alike_forms(df).collect()
+    pairs = {(a.doc_id, b.doc_id) for a in forms for b in forms if a.doc_id < b.doc_id and a.form == b.form and a.spelling != b.spelling}
+    got = [(r.doc_id_a, r.doc_id_b) for r in lookalike.look_alike_pairs(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == pairs and len(pairs) == 54
+    assert {(r.form, r.form_rows, r.form_spellings) for r in forms} == {(0, 12, 4)} and len(forms) == 12
+    assert lookalike.look_alike_forms(df.limit(0)).collect() == []
+    assert {r.doc_id: r.form for r in lookalike.comparison_form(df).collect()}[90] is None
