@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from quarrykit.llm.common import current_patterns, term
 from quarrykit.session import cut_lineage
 
-#: Records that one block holds before its product is taken.
+#: Records, and items of all of them, that one block holds before its product is taken.
 BLOCK_RECORDS = 65_536
+BLOCK_ITEMS = 1 << 20
 #: A record with more items than this is multiplied in dense item blocks.
 LONG_RECORD = 128
 ITEM_BLOCK = 1024
@@ -95,16 +96,22 @@ def block_gram(records: pa.Array) -> Iterator[pa.RecordBatch]:
     size = size + 1
     begin = np.cumsum(size) - size
     long = np.flatnonzero(size > LONG_RECORD)
-    results = []
     short = size <= LONG_RECORD
-    if short.any():
-        keep = np.repeat(short, size)
-        for part in _sparse(full[keep], size[short], width):
-            results.append(part)
-            if sum(len(x[0]) for x in results) > 4 * PAIRS:
-                results = _summed(results)
-    for part in range(0, len(long), 1024):
-        results.extend(_dense([full[begin[i] : begin[i] + size[i]] for i in long[part : part + 1024]], width))
+
+    def products() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if short.any():
+            yield from _sparse(full[np.repeat(short, size)], size[short], width)
+        for part in range(0, len(long), 1024):
+            yield from _dense([full[begin[i] : begin[i] + size[i]] for i in long[part : part + 1024]], width)
+
+    results, held, limit = [], 0, 4 * PAIRS
+    for part in products():
+        results.append(part)
+        held += len(part[0])
+        if held > limit:
+            results = _summed(results)
+            held = sum(len(x[0]) for x in results)
+            limit = max(4 * PAIRS, 2 * held)
     results = _summed(results)
     words = pa.array(names, pa.string())
     for code, count in results:
@@ -124,13 +131,14 @@ def gram(baskets: DataFrame, items: str = "items") -> DataFrame:
     source = baskets.select(F.col(items)).where(F.size(items) > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held, n, size = [], 0, 0
         for batch in batches:
             held.append(batch.column(0))
             n += len(batch)
-            if n >= BLOCK_RECORDS:
+            size += len(batch.column(0).flatten())
+            if n >= BLOCK_RECORDS or size >= BLOCK_ITEMS:
                 yield from block_gram(pa.concat_arrays(held))
-                held, n = [], 0
+                held, n, size = [], 0, 0
         if n:
             yield from block_gram(pa.concat_arrays(held))
 
@@ -145,7 +153,8 @@ def associated_pairs(baskets: DataFrame, items: str = "items", least: int = 5, l
     is n_ab * n_records / (n_a * n_b). The comparison is made in whole numbers,
     so a pair that is exactly at a bound is kept. A pair below ``least`` cannot
     be a case, nor can a pair with an item below it, so the joins see only the
-    rest. An empty table gives an empty table.
+    rest. An empty table gives an empty table. The matrix is made and its rest
+    written while the plan is made.
     """
     kept = cut_lineage(gram(baskets, items).where((F.col("n") >= least) | (F.col("tag_b") == "")))
     total = kept.where("tag_b = ''").agg(F.max("n").alias("n"))

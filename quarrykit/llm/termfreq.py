@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrykit.llm.common import current_patterns, term
+from quarrykit.session import cut_lineage
 
 #: Most heavy terms that are broadcast, and counters of one partition's summary.
 HEAVY = 512
@@ -60,19 +61,23 @@ def heavy_terms(rows: DataFrame, heavy: int = HEAVY, counters: int = COUNTERS) -
 
 
 def term_counts(rows: DataFrame, heavy: list[tuple[str, str]]) -> DataFrame:
-    """(field, term, uses, records) of every term of ``normalised`` rows, each term once."""
+    """(field, term, uses, records) of every term of ``normalised`` rows, each term once.
+
+    One more row, with an empty field and term, has the number of rows.
+    """
     fields = {f: {t: i for i, (g, t) in enumerate(heavy) if g == f} for f in ("tags", "language")}
     shared = rows.sparkSession.sparkContext.broadcast(fields)  # at most HEAVY terms
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = shared.value
-        uses, records = np.zeros(len(heavy), np.int64), np.zeros(len(heavy), np.int64)
+        uses, records, total = np.zeros(len(heavy), np.int64), np.zeros(len(heavy), np.int64), 0
 
         def out(is_heavy, field, words, u, r):
             n = len(words)
             return pa.RecordBatch.from_arrays([pa.array([is_heavy] * n, pa.bool_()), pa.array(field if isinstance(field, list) else [field] * n, pa.string()), pa.array(words, pa.string()), pa.array(u, pa.int64()), pa.array(r, pa.int64())], names=["heavy", "field", "term", "uses", "records"])
 
         for batch in batches:
+            total += batch.num_rows
             for field, every, own in (("tags", "tags", "own_tags"), ("language", "language", "language")):
                 light: dict[str, list[int]] = {}
                 for slot, name, array in ((0, every, uses), (1, own, records)):
@@ -84,6 +89,7 @@ def term_counts(rows: DataFrame, heavy: list[tuple[str, str]]) -> DataFrame:
                             array[at] += n
                 if light:
                     yield out(False, field, list(light), [x[0] for x in light.values()], [x[1] for x in light.values()])
+        yield out(True, "", [""], [0], [total])
         met = np.flatnonzero(uses)
         if len(met):
             yield out(True, [heavy[i][0] for i in met], [heavy[i][1] for i in met], uses[met], records[met])
@@ -99,11 +105,12 @@ def pattern_terms(patterns: DataFrame, heavy: int = HEAVY) -> DataFrame:
     ``uses`` counts a repeated tag each time, ``records`` once for each row.
     ``mark`` is ``rare`` if at most 2 rows have the term, else ``common`` if at
     least a tenth of all current rows have it (rows without terms included),
-    else null. Null and blank terms are dropped. An empty table gives none.
+    else null. Null and blank terms are dropped. An empty table gives none. The
+    heavy terms are found and the counts written while the plan is made.
     """
     # the heavy terms of the whole log are near enough those of its current rows
     found = heavy_terms(normalised(patterns.select("tags", "language")), heavy)
-    counts = term_counts(normalised(current_patterns(patterns, "tags", "language")), found)
-    rows = patterns.select("id").distinct().agg(F.count(F.lit(1)).alias("n"))
-    mark = F.when(F.col("records") <= 2, "rare").when(F.col("records") * 10 >= rows.scalar(), "common")
-    return counts.withColumn("mark", mark)
+    counted = cut_lineage(term_counts(normalised(current_patterns(patterns, "tags", "language")), found))
+    total = counted.where("field = ''").agg(F.max("records").alias("n"))
+    mark = F.when(F.col("records") <= 2, "rare").when(F.col("records") * 10 >= total.scalar(), "common")
+    return counted.where("field != ''").withColumn("mark", mark)

@@ -36,6 +36,7 @@ def test_tag_pairs(spark, monkeypatch, long_record, block):
     monkeypatch.setattr(cooccur, "BLOCK_RECORDS", block)
     monkeypatch.setattr(cooccur, "ITEM_BLOCK", 3)
     monkeypatch.setattr(cooccur, "PAIRS", 40)
+    monkeypatch.setattr(cooccur, "BLOCK_ITEMS", block * 3)
     rows, df = log(spark)
     sets = [s for r in current(rows) if (s := {clean(t) for t in r[4] or [] if clean(t)})]
     one = Counter(t for s in sets for t in s)
