@@ -104,7 +104,25 @@ SELECT field, term, uses, records,
   CASE WHEN records <= 2 THEN 'rare' WHEN records * 10 >= (SELECT count(*) FROM current_row) THEN 'common' END AS mark
 FROM counted"""
 
+# every two rows that share a run of three words meet on it, so this is for small tables only
+NEAR = f"""WITH RECURSIVE {CURRENT.split(", used AS")[0]}, words AS (
+  SELECT seq, regexp_extract_all(lower(coalesce(name, '') || chr(10) || code), '[a-z0-9_]+') AS w FROM current_row WHERE code <> ''
+), own AS (
+  SELECT DISTINCT seq, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS run FROM words
+), size AS (SELECT seq, count(*) AS n FROM own GROUP BY seq),
+met AS (SELECT a.seq AS seq_a, b.seq AS seq_b, count(*) AS n FROM own a JOIN own b ON a.run = b.run AND a.seq < b.seq GROUP BY ALL),
+pair AS (
+  SELECT seq_a, seq_b FROM met JOIN size x ON x.seq = seq_a JOIN size y ON y.seq = seq_b WHERE 2 * met.n >= x.n + y.n - met.n
+)"""
+GROUPS = f"""{NEAR}, edge AS (SELECT seq_a AS a, seq_b AS b FROM pair UNION ALL SELECT seq_b, seq_a FROM pair),
+reached AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reached r JOIN edge e ON e.a = r.b),
+least AS (SELECT a, min(b) AS "group" FROM reached GROUP BY a),
+linked AS (SELECT a, count(*) AS links FROM edge GROUP BY a)
+SELECT a AS seq, "group", links FROM least JOIN linked USING (a)"""
+
 ORACLES = {
+    "p2_found": f"{NEAR} SELECT seq_a, seq_b FROM pair",
+    "p2_groups": GROUPS,
     "p1_found": f"SELECT tag_a, tag_b FROM ({PAIRS})",
     "p1_pairs": PAIRS,
     "p4_found": f"SELECT field, term, mark FROM ({TERMS}) WHERE mark IS NOT NULL",

@@ -7,7 +7,7 @@ from quarrykit.llm.queries import ORACLES, QUERIES
 
 D = "/root/testdata/sf0.001"
 COLUMNS = {
-    "p1_found": "tag_a string, tag_b string", "p2_found": "seq_a bigint, seq_b bigint", "p3_found": "pos int", "p4_found": "field string, term string, mark string",
+    "p1_found": "tag_a string, tag_b string", "p2_found": "seq_a bigint, seq_b bigint", "p2_groups": "seq bigint, group bigint, links bigint", "p3_found": "pos int", "p4_found": "field string, term string, mark string",
     "p5_found": "tab string, row_key bigint, line_no int", "p6_ids": "doc_id bigint, ids array<int>", "p8_found": "doc_id_a bigint, doc_id_b bigint",
 }
 
