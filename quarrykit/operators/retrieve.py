@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarrykit.functions.textfn import STOP_WORDS, keywords, let
 from quarrykit.operators.snippet import essential_snippet
+from quarrykit.session import cut_lineage
 
 #: Gram sizes; a needle uses the greatest that is not longer than itself.
 GRAMS = (1, 3, 12)
@@ -24,12 +25,24 @@ CLOSING = "Follow the patterns shown above."
 #: Lines of a summary.
 SUMMARY_KB = "📚 From Knowledge Base:"
 SUMMARY_WORKSPACE = "💻 From Workspace:"
-SUMMARY_NONE = "  • No patterns found\n  • Asking Copilot directly"
+SUMMARY_NONE = "  • No patterns found\n  • Asking the model directly"
 
 
-def _grams(text: str, size: str) -> Column:
-    """Hashes of the distinct grams of a text; two grams of one hash only add a candidate."""
-    return F.expr(f"array_distinct(transform(sequence(1, greatest(length({text}) - {size} + 1, 1)), i -> xxhash64(substring({text}, i, {size}), {size})))")
+def _grams_of(texts: str, size: int) -> Column:
+    """The grams of all texts of an array that are long enough."""
+    return F.expr(f"flatten(transform(filter({texts}, t -> length(t) >= {size}), t -> transform(sequence(1, length(t) - {size} + 1), i -> substring(t, i, {size}))))")
+
+
+def _cover(needle: str, size: str) -> Column:
+    """Grams side by side that cover a needle; a row that has it has them all."""
+    last = f"greatest(length({needle}) - {size} + 1, 1)"
+    return F.expr(f"array_distinct(transform(array_append(sequence(1, {last}, {size}), {last}), i -> substring({needle}, i, {size})))")
+
+
+def _first_places(hits: DataFrame, key: str, limit: int) -> DataFrame:
+    """(key, places): the least ``limit`` places of each key; the window's group limit keeps them before the shuffle."""
+    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("place"))).where(F.col("rank") <= limit)
+    return ranked.groupBy(key).agg(F.array_sort(F.collect_list("place")).alias("places"))
 
 
 def first_containing(needles: DataFrame, rows: DataFrame, order: str, texts: str, limit: int = FIRST, grams: tuple[int, ...] = GRAMS) -> DataFrame:
@@ -39,32 +52,37 @@ def first_containing(needles: DataFrame, rows: DataFrame, order: str, texts: str
     one must contain the needle; ``needles`` has ``needle``. Exact for needles
     of at least the least gram size and for the empty one, which is in every
     row that has a text; shorter needles are not looked up, so the sizes begin
-    at 1 unless the needles are known to be longer. A row can only contain a
-    needle whose grams it has, so a needle meets the rows of its rarest gram
-    only. Null needles and texts match nothing. Needles without a row are not in
-    the result.
+    at 1 unless the needles are known to be longer. Null needles and texts match
+    nothing. Needles without a row are not in the result.
+
+    A needle that is a gram itself has the rows of that gram, of which the first
+    are kept without a look at their texts, so a word that is everywhere costs a
+    few rows a task. A longer one can only be in a row that has the grams that
+    cover it, so it meets the rows of the rarest of them. The distinct needles
+    and the rows of their grams are written once while the plan is made, and
+    only gram sizes that a needle uses are made of the texts.
     """
     rows = rows.select(F.col(order).alias("place"), F.col(texts).alias("texts"))
-    needles = needles.select("needle").where("needle IS NOT NULL").distinct()
     size = F.lit(grams[0])
     for g in grams[1:]:
         size = F.when(F.length("needle") >= g, F.lit(g)).otherwise(size)
-    asked = needles.where(F.length("needle") >= grams[0]).withColumn("size", size).select("needle", F.explode(_grams("needle", "size")).alias("gram"))
-    flat = rows.select("place", F.explode(F.filter("texts", lambda t: F.length(t) > 0)).alias("text"))
-    of_size = [F.when(F.length("text") >= g, _grams("text", str(g))).otherwise(F.array().cast("array<bigint>")) for g in grams]
-    held = flat.select("place", F.explode(F.concat(*of_size)).alias("gram")).distinct()
-    posted = held.join(asked.select("gram").distinct(), "gram", "left_semi")
+    needles = cut_lineage(needles.select("needle").where("needle IS NOT NULL").distinct().withColumn("size", size))
+    used = sorted(r.size for r in needles.where(F.length("needle") >= grams[0]).select("size").distinct().collect())
+    asked = needles.where(F.length("needle") >= grams[0]).select("needle", "size", F.explode(_cover("needle", "size")).alias("gram"))
+    held = rows.select("place", F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *[_grams_of("texts", g) for g in used]))).alias("gram"))
+    posted = cut_lineage(held.join(asked.select("gram").distinct(), "gram", "left_semi"))
+    whole = needles.where("length(needle) = size").select(F.col("needle").alias("gram"))
+    exact = _first_places(posted.join(whole, "gram", "left_semi"), "gram", limit).select(F.col("gram").alias("needle"), "places")
     often = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    rarest = asked.join(often, "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("least")).where("least.df > 0").select("needle", "least.gram")
+    longer = asked.where("length(needle) > size")
+    rarest = longer.join(often, "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("least")).where("least.df > 0").select("needle", "least.gram")
     candidates = rarest.join(posted, "gram").select("needle", "place")
     hits = candidates.join(rows, "place").where(F.exists("texts", lambda t: F.coalesce(t.contains(F.col("needle")), F.lit(False)))).select("needle", "place")
-    # the window's group limit keeps the first rows of a needle before the shuffle
-    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("needle").orderBy("place"))).where(F.col("rank") <= limit)
-    found = ranked.groupBy("needle").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    found = exact.unionByName(_first_places(hits, "needle", limit))
     if grams[0] > 1:
         return found
     first = rows.where(F.size(F.filter("texts", lambda t: t.isNotNull())) > 0).select("place").orderBy("place").limit(limit).agg(F.array_sort(F.collect_list("place")).alias("places"))
-    empty = needles.where("needle = ''").withColumn("places", first.scalar())
+    empty = needles.where("needle = ''").select("needle").withColumn("places", first.scalar())
     return found.unionByName(empty)
 
 
@@ -74,9 +92,10 @@ def relevant_classes(questions: DataFrame, classes: DataFrame, key: str = "quest
     A class is relevant if a keyword of the question is part of its name or of
     its path, in any case, or is its type. Questions without keywords or
     without a relevant class are not in the result. Equal keywords of many
-    questions are looked up once.
+    questions are looked up once. Their keywords are written once
+    while the plan is made.
     """
-    asked = questions.select(key, F.explode(keywords(F.col(text), stop_words)).alias("needle"))
+    asked = cut_lineage(questions.select(key, F.explode(keywords(F.col(text), stop_words)).alias("needle")))
     classes = classes.select(F.col(order).alias("place"), "class_name", "file_path", "type")
     hay = classes.select("place", F.array(F.lower("class_name"), F.lower("file_path")).alias("texts"))
     by_text = first_containing(asked, hay, "place", "texts", limit, KEYWORD_GRAMS)
@@ -96,6 +115,11 @@ def relevant_patterns(questions: DataFrame, patterns: DataFrame, key: str = "que
     return asked.join(first_containing(asked, hay, order, "texts", limit), "needle").select(key, "places")
 
 
+def prompts_without_patterns(questions: DataFrame, classes: DataFrame, key: str = "question_id", text: str = "question", limit: int = FIRST) -> DataFrame:
+    """``prompts`` as they were before there were saved patterns: the workspace alone, or the question."""
+    return prompts(questions, classes, None, key, text, limit)
+
+
 def _block(title: Column, kind: Column, language: Column, body: Column) -> Column:
     return F.concat(F.lit("**"), title, F.lit("** ("), kind, F.lit("):\n```"), language, F.lit("\n"), body, F.lit("\n```\n\n"))
 
@@ -108,15 +132,19 @@ def _blocks(places: DataFrame, key: str, rows: DataFrame, order: str, block: Col
     return met.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["block"]), "").alias(name))
 
 
-def prompts(questions: DataFrame, classes: DataFrame, patterns: DataFrame, key: str = "question_id", text: str = "question", limit: int = FIRST) -> DataFrame:
+def prompts(questions: DataFrame, classes: DataFrame, patterns: DataFrame | None, key: str = "question_id", text: str = "question", limit: int = FIRST) -> DataFrame:
     """(key, prompt, has_context) of every question.
 
     Patterns come before classes; a question that neither concerns is passed
     on unchanged. A null question keeps a null prompt. Null fields of a pattern
-    or class read as empty.
+    or class read as empty. Without a table of patterns there are none.
     """
     say = lambda c: F.coalesce(F.col(c), F.lit(""))
-    from_patterns = _blocks(relevant_patterns(questions, patterns, key, text, limit=limit), key, patterns, "seq", _block(say("name"), say("type"), say("language"), say("code")), "kb")
+    questions = cut_lineage(questions.select(key, text))  # read by each part below
+    if patterns is None:
+        from_patterns = questions.select(key, F.lit(None).cast("string").alias("kb")).limit(0)
+    else:
+        from_patterns = _blocks(relevant_patterns(questions, patterns, key, text, limit=limit), key, patterns, "seq", _block(say("name"), say("type"), say("language"), say("code")), "kb")
     snippet = F.coalesce(essential_snippet(F.col("content"), F.col("class_name")), F.lit(""))
     from_classes = _blocks(relevant_classes(questions, classes, key, text, limit=limit), key, classes, "first_pos", _block(say("class_name"), say("type"), say("language"), snippet), "workspace")
     every = questions.select(key, text).join(from_patterns, key, "left").join(from_classes, key, "left")

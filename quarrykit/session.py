@@ -16,6 +16,7 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -33,15 +34,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     The folder is the one the session names; one is set here only on a local
     master, where every task runs on this machine. Elsewhere a missing folder
-    is an error, since a machine-local one would not be shared.
+    is an error, since a machine-local one would not be shared. What is written
+    goes when it is no longer referenced, if the session's
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` says so.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as ``cut_lineage`` uses it."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if folder is None:
-            if not context.master.split("[")[0] == "local":
+            if context.master.split("[")[0] != "local":
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
