@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarrykit.functions.classify import code_blocks
 from quarrykit.functions.textfn import contains_code, trim_all
-from quarrykit.operators.reply import saved_row
+from quarrykit.operators.reply import save_form, saved_row
 from quarrykit.session import cut_lineage
 
 #: Events of one chunk; a long session is carried forward chunk by chunk.
@@ -143,3 +143,20 @@ def save_events(events: DataFrame, replies: DataFrame, held: Column | None = Non
     outcome = cut_lineage(joined.select("session_id", "seq", "type", offered.alias("offered")))
     state = carry_forward(outcome, F.col("offered"), "told")
     return state.where("type = 'savePattern'").select("session_id", "seq", F.lit(0).alias("step"), F.coalesce("told", F.lit("addMessage")).alias("type"))
+
+
+def save_forms(events: DataFrame, replies: DataFrame) -> DataFrame:
+    """What the save form shows after each request to save that gets one: (session_id, seq) and the columns of ``reply.save_form``.
+
+    Question and reply are those of the session's last question before the
+    request, not of its last one of all. ``replies`` has session_id, seq of the
+    question, and response. Only the place of the question is carried forward;
+    texts are met by it once.
+    """
+    sent = (F.col("type") == "sendMessage") & asked(F.col("message")).isNotNull()
+    once = delivered_once(events.select("session_id", "seq", "arrived_at", "type", sent.alias("sent"))).where("type IN ('sendMessage', 'savePattern')")
+    state = carry_forward(once.select("session_id", "seq", "type", "sent"), F.when(F.col("sent"), F.col("seq")), "asked_at").where("type = 'savePattern' AND asked_at IS NOT NULL")
+    questions = delivered_once(events.where("type = 'sendMessage'").select("session_id", "seq", "arrived_at", "message")).select("session_id", F.col("seq").alias("asked_at"), asked(F.col("message")).alias("query"))
+    known = questions.join(replies.select("session_id", F.col("seq").alias("asked_at"), "response"), ["session_id", "asked_at"])
+    made = save_form(state.select("session_id", "seq", "asked_at").join(known, ["session_id", "asked_at"]))
+    return made.where("status = 'form'").select("session_id", "seq", "code", "language", "suggested_name", "suggested_description", "suggested_tags")

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import os
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -11,12 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quarrykit.functions.textfn import trim_all
-from quarrykit.operators.session import carry_forward
 
 EVENT_SCHEMA = "session_id string, seq bigint, ts timestamp, arrived_at timestamp, type string, message string, name string, description string, tags string, code string"
 OUT_SCHEMA = "session_id string, seq bigint, type string, last_query string"
 STATE_SCHEMA = "last_query string, last_seq bigint"
-KEPT_SCHEMA = "session_id string, last_seq bigint, earlier string"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 4) -> DataFrame:
@@ -60,62 +61,48 @@ def last_question_stream(events: DataFrame) -> DataFrame:
     repeated delivery counts once; over triggers an event whose ``seq`` is not
     above the last one seen was delivered before or came too late, and is
     dropped. A session's state is two values. One task sorts what a trigger has
-    of a session, so the trigger's size must be bounded; ``advance_sessions``
-    has no such bound.
+    of a session, so the trigger's size must be bounded, as ``event_stream`` and
+    ``replay`` do.
     """
     return _questions(events).groupBy("session_id").applyInPandasWithState(_advance, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 
 
-def advance_sessions(batch: DataFrame, before: DataFrame) -> DataFrame:
-    """One trigger's events with the last question of their sessions; (session_id, seq, type, last_query).
+def replay(events: DataFrame, folder: str, order: list[str], trigger_rows: int = 250_000, least: int = 4) -> DataFrame:
+    """A stream over the rows of a table in the order of ``order``, of about ``trigger_rows`` rows a trigger.
 
-    ``before`` is what earlier triggers left: (session_id, last_seq, earlier),
-    one row per session. Sessions are worked on in chunks, so a session that
-    holds a third of a trigger is spread over many tasks. Repeated deliveries
-    count once, and events not above ``last_seq`` are dropped.
-    """
-    fresh = _questions(batch).dropDuplicates(["session_id", "seq"]).join(before, "session_id", "left").where("last_seq IS NULL OR seq > last_seq")
-    carried = carry_forward(fresh, F.col("question"), "own")
-    return carried.select("session_id", "seq", "type", F.coalesce("own", "earlier").alias("last_query"))
-
-
-def run_in_chunks(events: DataFrame, folder: str) -> DataFrame:
-    """The result of ``last_question_stream``, for triggers and sessions of any size.
-
-    Each trigger reads the sessions' state that the one before it wrote below
-    ``folder``, which all executors must share, and writes its events and the
-    next state. A trigger that is repeated after a loss overwrites what it
-    wrote, so each event counts once. The two latest states are kept.
+    The rows are written below ``folder``, which all executors share, one file
+    for each range of ``order``. The file source takes files by age, so theirs
+    are set in that order; the driver touches as many files as there are
+    triggers. There are ``least`` triggers at least, fewer for a few rows.
     """
     spark = events.sparkSession
-    place = os.path.join(folder, f"stream-{uuid.uuid4().hex}")
-    spark.createDataFrame([], OUT_SCHEMA).write.parquet(f"{place}/out/batch=-1")
-    spark.createDataFrame([], KEPT_SCHEMA).write.parquet(f"{place}/sessions/-1")
-
-    def trigger(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        before = session.read.schema(KEPT_SCHEMA).parquet(f"{place}/sessions/{number - 1}")
-        advance_sessions(batch, before).write.mode("overwrite").parquet(f"{place}/out/batch={number}")
-        done = session.read.schema(OUT_SCHEMA).parquet(f"{place}/out/batch={number}")
-        ends = done.groupBy("session_id").agg(F.max("seq").alias("last_seq"), F.max_by("last_query", "seq").alias("earlier"))
-        after = ends.unionByName(before.join(ends, "session_id", "left_anti"))
-        after.write.mode("overwrite").parquet(f"{place}/sessions/{number}")
-        old = session._jvm.org.apache.hadoop.fs.Path(f"{place}/sessions/{number - 2}")
-        old.getFileSystem(session._jsc.hadoopConfiguration()).delete(old, True)
-
-    query = events.writeStream.foreachBatch(trigger).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(OUT_SCHEMA).parquet(f"{place}/out").select("session_id", "seq", "type", "last_query")
+    triggers = max(least, -(-events.count() // trigger_rows))
+    place = os.path.join(folder, f"replay-{uuid.uuid4().hex}")
+    names = [f.split(" ")[0] for f in EVENT_SCHEMA.split(", ")]
+    events.select(*names).repartitionByRange(triggers, *order).write.parquet(place)
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    written = sorted((f.getPath() for f in files.listStatus(path) if f.getPath().getName().startswith("part-")), key=lambda f: f.getName())
+    now = int(time.time() * 1000)
+    for i, file in enumerate(written):
+        files.setTimes(file, now - 1000 * (len(written) - i), -1)
+    return event_stream(spark, place, files_per_trigger=1)
 
 
 def run_to_end(stream: DataFrame, folder: str) -> DataFrame:
     """Process all that is there, write it below ``folder`` and read it back as a table.
 
     ``folder`` must be one that all executors share. The checkpoint beside the
-    output makes the run repeatable after a loss.
+    output makes the run repeatable after a loss. Keyed state is held by RocksDB
+    stores, on disk and only as changes in the checkpoint.
     """
     spark = stream.sparkSession
     place = os.path.join(folder, f"stream-{uuid.uuid4().hex}")
-    query = stream.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKS_DB)
+    try:
+        query = stream.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(STATE_STORE, before)
     return spark.read.schema(stream.schema).parquet(f"{place}/out")

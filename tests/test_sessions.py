@@ -96,7 +96,7 @@ def test_stream_over_two_triggers(spark, tmp_path):
     assert {(r.session_id, r.seq): r.last_query for r in both} == WANT and len(both) == len(WANT)
 
 
-def test_stream_in_chunks(spark, tmp_path):
+def test_stream_over_three_triggers(spark, tmp_path):
     rows = [("hot", n, "sendMessage" if n % 700 == 5 else "savePattern", f"q{n}", 0, None) for n in range(1, 4001)]
     place = str(tmp_path / "in")
     for low, high in ((1, 1500), (1400, 3000), (3001, 4001)):
@@ -105,11 +105,11 @@ def test_stream_in_chunks(spark, tmp_path):
         import time
 
         time.sleep(1.1)
-    got = chat.run_in_chunks(chat.event_stream(spark, place, files_per_trigger=1), str(tmp_path)).collect()
+    got = chat.run_to_end(chat.last_question_stream(chat.event_stream(spark, place, files_per_trigger=1)), str(tmp_path)).collect()
     want = {("hot", n): None if n < 5 else f"q{(n - 5) // 700 * 700 + 5}" for n in range(1, 4001) if n != 3000} | WANT
     assert {(r.session_id, r.seq): r.last_query for r in got} == want and len(got) == len(want)
     (tmp_path / "none").mkdir()
-    assert chat.run_in_chunks(chat.event_stream(spark, str(tmp_path / "none")), str(tmp_path)).collect() == []
+    assert chat.run_to_end(chat.last_question_stream(chat.event_stream(spark, str(tmp_path / "none"))), str(tmp_path)).collect() == []
 
 
 def test_numbered_by(spark):
@@ -118,3 +118,28 @@ def test_numbered_by(spark):
     got = {(r.session_id, r.request_id): r.n for r in session.numbered_by(df, "request_id").collect()}
     assert got == {**{("hot", f"r{i:04d}"): i + 1 for i in range(3000)}, ("b", None): 1, ("b", "x"): 2, (None, "y"): 1, (None, "z"): 2}
     assert session.numbered_by(df.limit(0), "request_id").collect() == []
+
+
+def test_save_forms(spark):
+    block = "text\n```java\npublic class {}Thing {{}}\n```"
+    rows = [
+        ("a", 1, "savePattern", None, 0, None), ("a", 2, "sendMessage", "make first thing", 0, None), ("a", 3, "savePattern", None, 0, None), ("a", 4, "sendMessage", "make second thing", 0, None),
+        ("a", 2500, "savePattern", None, 0, None), ("a", 2500, "savePattern", None, 9, None), ("a", 2501, "sendMessage", "unanswered", 0, None), ("a", 2502, "savePattern", None, 0, None), ("b", 2, "savePattern", None, 0, None),
+    ]
+    replies = spark.createDataFrame([("a", 2, block.format("First")), ("a", 4, block.format("Second"))], "session_id string, seq bigint, response string")
+    got = sorted((r.session_id, r.seq, r.suggested_name, r.suggested_description) for r in session.save_forms(events(spark, rows), replies).collect())
+    assert got == [("a", 3, "FirstThing Pattern", "make first thing"), ("a", 2500, "SecondThing Pattern", "make second thing")]
+    assert session.save_forms(events(spark, rows), replies.limit(0)).collect() == []
+
+
+def test_replay(spark, tmp_path):
+    rows = [("hot", n, "sendMessage" if n % 70 == 5 else "savePattern", f"q{n}", 0, None) for n in range(1, 1001)] + ROWS
+    stream = chat.replay(events(spark, rows), str(tmp_path), ["seq", "session_id"], trigger_rows=200)
+    got = chat.run_to_end(chat.last_question_stream(stream), str(tmp_path)).collect()
+    want = {("hot", n): None if n < 5 else f"q{(n - 5) // 70 * 70 + 5}" for n in range(1, 1001)} | WANT
+    assert {(r.session_id, r.seq): r.last_query for r in got} == want and len(got) == len(want)
+    import glob
+
+    assert len(glob.glob(f"{tmp_path}/stream-*/state/commits/[0-9]*")) >= 5
+    none = chat.replay(events(spark, rows).limit(0), str(tmp_path), ["seq"])
+    assert chat.run_to_end(chat.last_question_stream(none), str(tmp_path)).collect() == []
