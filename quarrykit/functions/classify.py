@@ -35,9 +35,13 @@ def base_name(path: Column) -> Column:
 
 
 def file_language(path: Column) -> Column:
-    """Language by extension, ``unknown`` for any other and for a null path."""
+    """Language by extension, ``unknown`` for any other and for a null path.
+
+    The extension is what the last dot of the base name begins, unless that dot
+    is its first character.
+    """
     table = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
-    extension = F.regexp_extract(base_name(path), r"[^.](\.[^.]*)$", 1)
+    extension = F.regexp_extract(base_name(path), r".(\.[^.]*)$", 1)
     return F.coalesce(F.try_element_at(table, extension), F.lit("unknown"))
 
 

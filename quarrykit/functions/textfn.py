@@ -18,8 +18,9 @@ def let(value: Column, body) -> Column:
 
 
 def trim_all(c: Column) -> Column:
-    """Blanks of every kind off both ends: tabs, line ends, no-break spaces and byte order marks too."""
-    return F.regexp_replace(c, r"(?U)^[\s﻿]+|[\s﻿]+$", "")
+    """Blanks of every kind off both ends: tabs, line ends, no-break spaces and byte order marks too, but no controls."""
+    blank = r"[\t\n\x0B\f\r\p{Z}\x{FEFF}]+"
+    return F.regexp_replace(c, f"^{blank}|{blank}$", "")
 
 
 def non_empty(c: Column) -> Column:
@@ -73,5 +74,16 @@ def preview(c: Column, limit: int = 500) -> Column:
     return F.when(F.length(c) > limit, cut).otherwise(c)
 
 
+def confirm_preview(c: Column, limit: int = 500) -> Column:
+    """At most ``limit`` characters, followed by how many more there are, as a save is confirmed."""
+    cut = F.concat(F.substring(c, 1, limit), F.lit("\n\n... ["), (F.length(c) - limit).cast("string"), F.lit(" more characters]"))
+    return F.when(F.length(c) > limit, cut).otherwise(c)
+
+
+def short_preview(c: Column, limit: int = 100) -> Column:
+    """At most ``limit`` characters, followed by dots if there are more, as a block is picked."""
+    return F.when(F.length(c) > limit, F.concat(F.substring(c, 1, limit), F.lit("..."))).otherwise(c)
+
+
 def first_lines(c: Column, n: int = 30) -> Column:
     return F.array_join(F.slice(F.split(c, "\n"), 1, n), "\n")

@@ -18,9 +18,14 @@ def current(log: DataFrame, key: str = "id", order: str = "seq") -> DataFrame:
     return rows.where("coalesce(op, 'upsert') != 'delete'").drop("op") if "op" in log.columns else rows
 
 
-def new_pattern_id() -> Column:
-    """An id of the present time and nine random characters; unique within one query by the latter."""
-    return F.concat(F.lit("pattern-"), F.unix_millis(F.current_timestamp()).cast("string"), F.lit("-"), F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 9))
+def new_pattern_id(seq: Column) -> Column:
+    """An id of the present time and the row's place in the log, to base 36 and nine characters at least.
+
+    The time is the same for all rows of a query, and nine random characters
+    would meet in a large one; the place is unique.
+    """
+    place = F.lower(F.conv(seq.cast("string"), 10, 36))
+    return F.concat(F.lit("pattern-"), F.unix_millis(F.current_timestamp()).cast("string"), F.lit("-"), F.when(F.length(place) < 9, F.lpad(place, 9, "0")).otherwise(place))
 
 
 def iso_now() -> Column:
@@ -28,15 +33,20 @@ def iso_now() -> Column:
 
 
 def append_patterns(patterns: DataFrame, path: str) -> None:
-    """Add rows to the log, each with an id, the present time and a place after all before it."""
+    """Add rows to the log, each with an id, the present time and a place after all before it.
+
+    The log has one writer at a time: two at once would read the same greatest
+    place. Only that column is read for it, of which Parquet keeps statistics.
+    """
     spark = patterns.sparkSession
     start = (spark.read.schema(LOG_SCHEMA).parquet(path).agg(F.max("seq")).first()[0] or 0) + 1
-    rows = patterns.withColumns({"seq": F.lit(start) + F.monotonically_increasing_id(), "id": new_pattern_id(), "saved_at": iso_now(), "op": F.lit("upsert")})
+    rows = patterns.withColumns({"seq": F.lit(start) + F.monotonically_increasing_id(), "saved_at": iso_now(), "op": F.lit("upsert")})
+    rows = rows.withColumn("id", new_pattern_id(F.col("seq")))
     rows.select(*[f.split(" ")[0] for f in LOG_SCHEMA.split(", ")]).write.mode("append").parquet(path)
 
 
 def delete_patterns(ids: DataFrame, path: str) -> None:
-    """Append a tombstone for each ``id``; an unknown id only adds its tombstone."""
+    """Append a tombstone for each ``id``; an unknown id only adds its tombstone. One writer at a time."""
     spark = ids.sparkSession
     start = (spark.read.schema(LOG_SCHEMA).parquet(path).agg(F.max("seq")).first()[0] or 0) + 1
     empty = {n: F.lit(None).cast(t) for n, t in (f.split(" ", 1) for f in LOG_SCHEMA.split(", "))}

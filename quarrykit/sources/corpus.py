@@ -1,8 +1,14 @@
 """Scan of source files: globs, exclusions, caps, extraction, and one row per class name."""
 from __future__ import annotations
 
+import logging
+import os
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quarrykit.functions.classify import base_name, class_name, component_type, dependencies, file_language
 
@@ -12,28 +18,100 @@ FILES_PER_EXTENSION = 200
 #: Parts of a base name that rule a file out.
 EXCLUDED_NAMES = [".test.", ".spec.", "extension."]
 EXCLUDED_FOLDER = "/node_modules/"
+SKIPPED_FOLDERS = {"node_modules"}
+#: Levels of folders that are read by tasks of their own.
+SPLIT_LEVELS = 3
 FILE_SCHEMA = "file_path string, content string"
 
 
+class Folders(InputPartition):
+    """Folders of a tree, each with whether all below it is meant or its own files only."""
+
+    def __init__(self, places: list[tuple[str, bool]]):
+        self.places = places
+
+
+class SourceTreeReader(DataSourceReader):
+    """Reads the scanned files of a mounted tree; the folders a few levels down are dealt out to the tasks."""
+
+    def __init__(self, root: str, tasks: int):
+        self.root, self.tasks = root, tasks
+
+    def partitions(self) -> list[Folders]:
+        parts, level = [], [self.root]
+        for _ in range(SPLIT_LEVELS):
+            parts += [(place, False) for place in level]
+            level = [entry.path for place in level for entry in os.scandir(place) if entry.is_dir(follow_symlinks=False) and entry.name not in SKIPPED_FOLDERS]
+        parts += [(place, True) for place in level]
+        return [Folders(own) for i in range(self.tasks) if (own := parts[i :: self.tasks])]
+
+    def read(self, partition: Folders) -> Iterator[tuple[str, str]]:
+        for top, deep in partition.places:
+            yield from self._below(top, deep)
+
+    def _below(self, top: str, deep: bool) -> Iterator[tuple[str, str]]:
+        for place, folders, names in os.walk(top):
+            folders[:] = [x for x in folders if deep and x not in SKIPPED_FOLDERS]
+            for name in names:
+                if name.rpartition(".")[2] in EXTENSIONS and "." in name:
+                    path = os.path.join(place, name)
+                    try:
+                        with open(path, "rb") as file:
+                            yield path, file.read().decode("utf-8", "replace")
+                    except OSError:
+                        logging.getLogger(__name__).exception("%s cannot be read", path)
+
+
+class SourceTree(DataSource):
+    """The data source ``source_tree`` with the options ``root``, a mounted folder, and ``tasks``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "source_tree"
+
+    def schema(self) -> str:
+        return FILE_SCHEMA
+
+    def reader(self, schema) -> SourceTreeReader:
+        return SourceTreeReader(self.options["root"], int(self.options.get("tasks", 8)))
+
+
 def read_source_files(spark: SparkSession, root: str | None) -> DataFrame:
     """(file_path, content): every file below ``root`` with a scanned extension, whole, line ends kept.
 
-    Bytes that are no UTF-8 become U+FFFD; unreadable files are skipped. No root
-    gives an empty table.
+    Bytes that are no UTF-8 become U+FFFD; unreadable files are skipped with a
+    message. No root, or one that is no folder, gives an empty table. ``root``
+    is mounted on all executors. Spark's own file sources leave out names that
+    begin with an underscore or a dot, as generated folders and page templates
+    do, so the tree has a source of its own.
     """
     if root is None:
         return spark.createDataFrame([], FILE_SCHEMA)
-    raw = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.{" + ",".join(EXTENSIONS) + "}")
-        .option("recursiveFileLookup", "true")
-        .option("ignoreCorruptFiles", "true")
-        .option("ignoreMissingFiles", "true")
-        .load(root)
-    )
-    path = F.regexp_replace("path", r"^file:/*", "/")
-    text = F.make_valid_utf8(F.col("content").cast("string"))
-    return raw.where(~F.col("path").contains(EXCLUDED_FOLDER)).select(path.alias("file_path"), text.alias("content"))
+    place = "/" + root.removeprefix("file:").lstrip("/") if root.startswith("file:") else root
+    if not os.path.isdir(place):
+        return spark.createDataFrame([], FILE_SCHEMA)
+    spark.dataSource.register(SourceTree)
+    return spark.read.format("source_tree").option("root", place).option("tasks", 4 * spark.sparkContext.defaultParallelism).load()
+
+
+def write_source_files(files: DataFrame, root: str) -> None:
+    """Write each row's ``content`` to its ``file_path`` below ``root``, a mounted folder that all executors share.
+
+    Paths are unique; null contents are left out. Tasks write their own rows; a
+    repeated task writes the same bytes again.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist()):
+                place = os.path.join(root, path.lstrip("/"))
+                os.makedirs(os.path.dirname(place), exist_ok=True)
+                with open(f"{place}.part", "wb") as out:
+                    out.write(content)
+                os.replace(f"{place}.part", place)
+            yield batch.slice(0, 0).select([0])
+
+    files.where("file_path IS NOT NULL AND content IS NOT NULL").select("file_path", "content").mapInArrow(run, "file_path string").write.format("noop").mode("overwrite").save()
 
 
 def extension_rank(path: Column) -> Column:

@@ -114,3 +114,26 @@ def test_tags_preview_language(spark):
     assert row.a == ["a", "b"] and row.b == ["a", "", "b", ""] and row.p == "x" * 500 + "\n\n... [truncated 3 characters]"
     codes = spark.createDataFrame([("package main\nfunc main() {}",), ("import x from 'y'",), ("func add() {}",), ("SELECT 1",), (None,)], "c string")
     assert [r[0] for r in codes.select(C.code_language(F.col("c"))).collect()] == ["java", "python", "go", "java", "java"]
+
+
+def test_tree_of_any_names(spark, tmp_path):
+    rows = [("/ws/a/__generated__/_app.tsx", "a\r\n"), ("/ws/.hidden/b.ts", ""), ("/ws/a/deep/er/and/deeper/C.java", "é"), ("/D.js", "d"), ("/ws/a/node_modules/x/E.js", "e"), ("/ws/a/f.py", "f"), ("/ws/a/g.ts", None), (None, "h")]
+    df = spark.createDataFrame(rows, "file_path string, content string").selectExpr("*", "'clash' as path")
+    corpus.write_source_files(df, str(tmp_path / "tree"))
+    got = {(r.file_path.removeprefix(str(tmp_path / "tree")), r.content) for r in corpus.read_source_files(spark, f"file:{tmp_path}/tree").collect()}
+    assert got == set(rows[:4])
+    assert corpus.read_source_files(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_extension_and_trim_as_in_the_reference(spark):
+    names = [("a/b..ts", "typescript"), (".ts", "unknown"), ("a/.b.ts", "typescript"), ("x.ts/y", "unknown"), ("a.TS", "unknown"), (None, "unknown")]
+    got = spark.createDataFrame(names, "p string, want string").select(C.file_language(F.col("p")).alias("got"), "want").collect()
+    assert [r.got for r in got] == [r.want for r in got]
+    text = spark.createDataFrame([("\x85 a\x85 ",), (" ﻿ b　",)], "t string").select(T.trim_all(F.col("t"))).collect()
+    assert [r[0] for r in text] == ["\x85 a\x85", "b"]
+
+
+def test_previews(spark):
+    df = spark.createDataFrame([("x" * 501,), ("x" * 100,), ("",), (None,)], "t string")
+    got = df.select(T.confirm_preview(F.col("t")), T.short_preview(F.col("t"))).collect()
+    assert [tuple(r) for r in got] == [("x" * 500 + "\n\n... [1 more characters]", "x" * 100 + "..."), ("x" * 100,) * 2, ("", ""), (None, None)]
