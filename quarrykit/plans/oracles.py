@@ -1,7 +1,7 @@
 """DuckDB SQL of the registered queries."""
 from __future__ import annotations
 
-B = r"[\s\x0B\x{85}\p{Z}\x{FEFF}]"
+B = r"[\s\x0B\p{Z}\x{FEFF}]"
 
 
 def trim(x: str) -> str:
@@ -15,7 +15,7 @@ def distinct(x: str) -> str:
 
 BASE = "regexp_extract(file_path, '[^/]*$')"
 NAME = r"coalesce(nullif(regexp_extract(content, '(?:public\s+)?class\s+(\w+)', 1), ''), nullif(regexp_extract(content, 'export\s+(?:class|function)\s+(\w+)', 1), ''), nullif(regexp_extract(content, 'export\s+const\s+(\w+)\s*[:=]', 1), ''))"
-LANGUAGE = rf"coalesce(CASE regexp_extract({BASE}, '[^.](\.[^.]*)$', 1) WHEN '.java' THEN 'java' WHEN '.ts' THEN 'typescript' WHEN '.tsx' THEN 'typescript' WHEN '.js' THEN 'javascript' WHEN '.jsx' THEN 'javascript' END, 'unknown')"
+LANGUAGE = rf"coalesce(CASE regexp_extract({BASE}, '.(\.[^.]*)$', 1) WHEN '.java' THEN 'java' WHEN '.ts' THEN 'typescript' WHEN '.tsx' THEN 'typescript' WHEN '.js' THEN 'javascript' WHEN '.jsx' THEN 'javascript' END, 'unknown')"
 TYPE = rf"""CASE WHEN regexp_matches(lower({BASE}), 'controller|router') THEN 'controller' WHEN lower({BASE}) LIKE '%service%' THEN 'service'
  WHEN regexp_matches(lower({BASE}), 'repository|dao') THEN 'repository' WHEN lower({BASE}) LIKE '%config%' THEN 'config'
  WHEN regexp_matches(content, '@RestController|@Controller|Router\(\)') THEN 'controller' WHEN regexp_matches(content, '@Service|@Injectable') THEN 'service'
@@ -91,7 +91,7 @@ SNIPPET = f"""line AS (SELECT pos, first_pos, class_name, list_filter(list_trans
  part7 AS (SELECT *, list_transform(method, lambda x: regexp_extract(x, '\\b(\\w+)\\s*\\(', 1)) AS names FROM part6),
  snippet AS (SELECT pos, first_pos, array_to_string(list_concat(list_concat(list_concat(list_concat(list_concat(told, ['']), CASE WHEN maker IS NULL THEN [] ELSE [{signature('maker')}] END), ['']),
    list_filter(method, lambda x, i: list_position(names, names[i]) = i)[1:3]), ['}}']), chr(10)) AS snippet FROM part7)"""
-PROMPT = f"""{QUESTION}, {CLASSES}, {CURRENT}, {top(2, STOP)}, {PATTERN_PLACE}, {SNIPPET},
+PROMPT_OF_QUESTION = f"""{CLASSES}, {top(2, STOP)}, {PATTERN_PLACE}, {SNIPPET},
  kb AS (SELECT question_id, string_agg('**' || coalesce(name, '') || '** (' || coalesce(type, '') || '):' || chr(10) || '```' || coalesce(language, '') || chr(10) || coalesce(code, '') || chr(10) || '```' || chr(10) || chr(10), '' ORDER BY n) AS kb FROM pattern_place JOIN pattern USING (seq) GROUP BY question_id),
  ws AS (SELECT question_id, string_agg('**' || class_name || '** (' || coalesce(type, '') || '):' || chr(10) || '```' || coalesce(language, '') || chr(10) || coalesce(s.snippet, '') || chr(10) || '```' || chr(10) || chr(10), '' ORDER BY n) AS ws
    FROM class_place p JOIN classes c USING (first_pos) LEFT JOIN snippet s ON s.pos = c.pos GROUP BY question_id),
@@ -101,18 +101,24 @@ PROMPT = f"""{QUESTION}, {CLASSES}, {CURRENT}, {top(2, STOP)}, {PATTERN_PLACE},
      || CASE WHEN ws IS NULL THEN '' ELSE CASE WHEN kb IS NULL THEN 'Context from workspace:' ELSE 'Current workspace code:' END || chr(10) || chr(10) || ws END
      || '---' || chr(10) || chr(10) || 'User: ' || question || chr(10) || chr(10) || 'Follow the patterns shown above.' END AS prompt
    FROM question q LEFT JOIN kb USING (question_id) LEFT JOIN ws USING (question_id))"""
+PROMPT = f"{QUESTION}, {CURRENT}, {PROMPT_OF_QUESTION}"
+#: Questions that occur in patterns: every name and every tag.
+KB_QUESTION = f"""{CURRENT}, question AS (SELECT question_id, question, NULL AS session_id, NULL AS seq FROM (
+  SELECT 'name:' || seq AS question_id, {trim('name')} AS question FROM pattern
+  UNION ALL SELECT DISTINCT 'tag:' || {trim('tag')}, {trim('tag')} FROM (SELECT unnest(tags) AS tag FROM pattern)) WHERE question <> '')"""
 
 
 def bullets(section: str, pattern: str) -> str:
     return f"list_transform(regexp_extract_all({section}, '{pattern}'), lambda m: '  • ' || regexp_extract(m, '{pattern}', 1) || ' (' || regexp_extract(m, '{pattern}', 2) || ')')"
 
 
-SUMMARY = f"""WITH {PROMPT}, cut AS (SELECT question_id, prompt, string_split(prompt, 'Current workspace code:') AS parts FROM prompt),
+SUMMARY_OF_PROMPT = f"""cut AS (SELECT question_id, prompt, string_split(prompt, 'Current workspace code:') AS parts FROM prompt),
  found AS (SELECT question_id,
    CASE WHEN contains(prompt, 'Saved patterns from Knowledge Base:') THEN {bullets('parts[1]', r'\*\*(.+?)\*\* \((\w+)\):')} ELSE [] END AS kb,
    CASE WHEN contains(prompt, 'workspace') THEN ({bullets('CASE WHEN len(parts) > 1 THEN parts[2] ELSE prompt END', r'\*\*(\w+)\*\* \((\w+)\):')})[1:3] ELSE [] END AS ws FROM cut)
- SELECT question_id, CASE WHEN len(kb) + len(ws) = 0 THEN '  • No patterns found' || chr(10) || '  • Asking Copilot directly' ELSE
+ SELECT question_id, CASE WHEN len(kb) + len(ws) = 0 THEN '  • No patterns found' || chr(10) || '  • Asking the model directly' ELSE
    array_to_string(list_concat(CASE WHEN len(kb) > 0 THEN list_concat(['📚 From Knowledge Base:'], kb) ELSE [] END, CASE WHEN len(ws) > 0 THEN list_concat(['💻 From Workspace:'], ws) ELSE [] END), chr(10)) END AS summary FROM found"""
+SUMMARY = f"WITH {PROMPT}, {SUMMARY_OF_PROMPT}"
 LAST_QUERY = f"""{ONCE}, last_query AS (SELECT *, last_value(CASE WHEN type = 'sendMessage' THEN nullif({trim('message')}, '') END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS last_query FROM once)"""
 SAVED = f"""WITH {LAST_QUERY}, form AS (SELECT session_id, seq, coalesce(name, '') AS name, coalesce(description, '') AS description, coalesce(tags, '') AS tags, coalesce(code, '') AS code, coalesce(last_query, '') AS query FROM last_query WHERE type = 'confirmSavePattern')
  SELECT session_id, seq, {trim('name')} AS name, {code_language('code')} AS language, {text_type("name || ' ' || description || ' ' || code")} AS type, {trim('code')} AS code,
@@ -144,6 +150,16 @@ ORACLES = {
     "prompt": f"WITH {PROMPT} SELECT question_id, prompt, has_context FROM prompt",
     "context_summary": SUMMARY,
     "show_context": f"WITH {PROMPT} SELECT session_id, arg_max(prompt, seq) AS prompt FROM prompt GROUP BY session_id",
+    "kb_asked_top2": f"WITH {KB_QUESTION}, {PATTERN_PLACE} {PLACES.format('seq', 'pattern_place')}",
+    "kb_prompt": f"WITH {KB_QUESTION}, {PROMPT_OF_QUESTION} SELECT question_id, prompt, has_context FROM prompt",
+    "kb_summary": f"WITH {KB_QUESTION}, {PROMPT_OF_QUESTION}, {SUMMARY_OF_PROMPT}",
+    "prompt_without_kb": f"WITH {QUESTION}, pattern AS (SELECT * FROM saved_pattern WHERE false), {PROMPT_OF_QUESTION} SELECT question_id, prompt, has_context FROM prompt",
+    "kb_append_view": f"WITH {CURRENT} SELECT name, language, type, code, description, query, true AS named FROM pattern WHERE type IS DISTINCT FROM 'repository'",
+    "kb_index_read": f"WITH {CURRENT} SELECT '1.0.0' AS version, id, name, saved_at FROM pattern UNION ALL SELECT '0.9.0', NULL, NULL, NULL",
+    "source_tree_scan": f"SELECT file_path, md5(arg_max(content, pos)) AS digest FROM class_info WHERE content IS NOT NULL AND {SCANNED} GROUP BY file_path",
+    "block_picks": f"""WITH {REPLY}, b AS (SELECT request_id, {CODE_BLOCKS.format('response')} AS blocks FROM folded), c AS (SELECT request_id, i, {trim('blocks[i]')} AS code FROM (SELECT request_id, blocks, unnest(range(1, len(blocks) + 1)) AS i FROM b WHERE len(blocks) > 1))
+ SELECT request_id, 'Code Block ' || i AS label, length(code) || ' chars' AS description, CASE WHEN length(code) > 100 THEN substring(code, 1, 100) || '...' ELSE code END AS detail FROM c""",
+    "confirm_preview": f"WITH {CURRENT} SELECT seq, CASE WHEN length(code) > 500 THEN substring(code, 1, 500) || chr(10) || chr(10) || '... [' || (length(code) - 500) || ' more characters]' ELSE code END AS preview FROM pattern",
     "kb_current": f"WITH {CURRENT} SELECT seq, id, name FROM pattern",
     "kb_delete_view": f"WITH {CURRENT} SELECT seq, id FROM pattern WHERE type IS DISTINCT FROM 'service'",
     "kb_tombstones": f"WITH {CURRENT} SELECT seq, id FROM pattern WHERE type IS DISTINCT FROM 'repository'",
@@ -184,4 +200,11 @@ ORACLES = {
    FROM once o LEFT JOIN a ON a.session_id = o.session_id AND a.seq = o.seq LEFT JOIN b ON b.session_id = a.session_id AND b.n = a.n),
  f AS (SELECT session_id, seq, kind, last_value(blocks IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq) AS blocks FROM e)
  SELECT session_id, seq, 0 AS step, CASE WHEN blocks > 0 THEN 'showSaveForm' ELSE 'addMessage' END AS type FROM f WHERE kind = 'savePattern'""",
+    "save_form_at_request": f"""WITH {QUESTION}, {REPLY}, a AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS n FROM question),
+ b AS (SELECT session_id, response, row_number() OVER (PARTITION BY session_id ORDER BY request_id) AS n FROM folded),
+ known AS (SELECT a.session_id, a.seq, a.question, b.response FROM a LEFT JOIN b ON b.session_id = a.session_id AND b.n = a.n),
+ state AS (SELECT o.session_id, o.seq, o.type, last_value(k.seq IGNORE NULLS) OVER (PARTITION BY o.session_id ORDER BY o.seq ROWS UNBOUNDED PRECEDING) AS asked_at FROM once o LEFT JOIN known k ON k.session_id = o.session_id AND k.seq = o.seq),
+ f AS (SELECT s.session_id, s.seq, k.question AS q, {FORM_CODE} AS code FROM state s JOIN known k ON k.session_id = s.session_id AND k.seq = s.asked_at WHERE s.type = 'savePattern' AND len({CODE_BLOCKS.format('response')}) > 0),
+ g AS (SELECT *, {suggested_tags('code', 'q')} AS tags FROM f)
+ SELECT session_id, seq, code, {code_language('code')} AS language, {suggested_name('code', 'q')} AS suggested_name, q AS suggested_description, array_to_string({distinct('tags')}, ', ') AS suggested_tags FROM g""",
 }

@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from quarrykit.operators import reply as R
 from quarrykit.operators import retrieve, session, store
 from quarrykit.operators.snippet import essential_snippet
 from quarrykit.plans.oracles import ORACLES
-from quarrykit.session import table
+from quarrykit.session import cut_lineage, shared_folder, table
 from quarrykit.sources import corpus, kbjson
 from quarrykit.streaming import chat
 
@@ -172,6 +172,7 @@ def context_summary(spark, d):
 def show_context(spark, d):
     """K5: the prompt of each session's last question."""
     last = _questions(spark, d).groupBy("session_id").agg(F.max_by(F.struct("question_id", "question"), "seq").alias("q")).select("session_id", "q.*")
+    last = cut_lineage(last)  # read by each part of the prompt
     made = retrieve.prompts(last, _classes(spark, d), _patterns(spark, d))
     return last.select("session_id", "question_id").join(made, "question_id").select("session_id", "prompt")
 
@@ -309,13 +310,9 @@ def session_last_query(spark, d):
 @query
 def stream_last_query(spark, d):
     """S6, §2.9: the same state, kept over a stream."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder is None:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-stream-")
-    path = os.path.join(d, "chat_event.parquet")
-    return chat.run_in_chunks(chat.event_stream(spark, path, 1_000_000), folder)
+    folder = shared_folder(spark)
+    events = chat.replay(table(spark, d, "chat_event"), folder, ["seq", "session_id"])
+    return chat.run_to_end(chat.last_question_stream(events), folder)
 
 
 def _matched(spark: SparkSession, d: str, made: Column) -> DataFrame:
@@ -337,3 +334,93 @@ def view_events(spark, d):
 def view_save_events(spark, d):
     """What the view is told after a request to save."""
     return session.save_events(table(spark, d, "chat_event"), _matched(spark, d, F.size(C.code_blocks(F.col("response"))) > 0), F.col("made"))
+
+
+@query
+def save_form_at_request(spark, d):
+    """What the save form shows after a request to save, with the question that the reply answers."""
+    return session.save_forms(table(spark, d, "chat_event"), _matched(spark, d, F.col("response")).withColumnRenamed("made", "response"))
+
+
+def _asked_of_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """Questions that occur in patterns: every pattern's name and every tag."""
+    patterns = _patterns(spark, d)
+    names = patterns.select(F.concat(F.lit("name:"), F.col("seq").cast("string")).alias("question_id"), T.trim_all(F.col("name")).alias("question"))
+    tags = patterns.select(F.explode("tags").alias("tag")).select(T.trim_all(F.col("tag")).alias("question")).distinct()
+    return names.unionByName(tags.select(F.concat(F.lit("tag:"), "question").alias("question_id"), "question")).where("question != ''")
+
+
+@query
+def kb_asked_top2(spark, d):
+    """The first two patterns that have a name or tag in them."""
+    found = retrieve.relevant_patterns(_asked_of_patterns(spark, d), _patterns(spark, d))
+    return found.select("question_id", F.array_join(F.transform("places", lambda x: x.cast("string")), ",").alias("places"))
+
+
+@query
+def kb_prompt(spark, d):
+    """Prompts that patterns and classes are part of."""
+    return retrieve.prompts(_asked_of_patterns(spark, d), _classes(spark, d), _patterns(spark, d)).select("question_id", "prompt", "has_context")
+
+
+@query
+def kb_summary(spark, d):
+    """Summaries of those."""
+    return kb_prompt(spark, d).select("question_id", retrieve.summary(F.col("prompt")).alias("summary"))
+
+
+@query
+def prompt_without_kb(spark, d):
+    """V5: prompts of the workspace alone."""
+    return retrieve.prompts_without_patterns(_questions(spark, d), _classes(spark, d)).select("question_id", "prompt", "has_context")
+
+
+@query
+def block_picks(spark, d):
+    """V8: what is shown to pick one of several blocks."""
+    rows = R.block_rows(_replies(spark, d).where(F.size(C.code_blocks(F.col("response"))) > 1))
+    label = F.concat(F.lit("Code Block "), (F.col("block_no") + 1).cast("string"))
+    return rows.select("request_id", label.alias("label"), F.concat(F.length("code").cast("string"), F.lit(" chars")).alias("description"), T.short_preview(F.col("code")).alias("detail"))
+
+
+@query
+def confirm_preview(spark, d):
+    """The code of patterns as a save is confirmed."""
+    return _patterns(spark, d).select("seq", T.confirm_preview(F.col("code")).alias("preview"))
+
+
+@query
+def kb_append_view(spark, d):
+    """A log made anew, every pattern appended, repositories deleted, and the current view read."""
+    path = os.path.join(shared_folder(spark), f"log-{uuid.uuid4().hex}")
+    kbjson.bootstrap(spark, path)
+    store.append_patterns(_patterns(spark, d).drop("seq", "id", "saved_at"), path)
+    log = spark.read.schema(kbjson.LOG_SCHEMA).parquet(path)
+    store.delete_patterns(log.where("type = 'repository'").select("id"), path)
+    now = store.current(spark.read.schema(kbjson.LOG_SCHEMA).parquet(path))
+    return now.select("name", "language", "type", "code", "description", "query", F.col("id").rlike("^pattern-[0-9]{13}-[0-9a-z]{9,}$").alias("named"))
+
+
+@query
+def kb_index_read(spark, d):
+    """S3, K2, V7: patterns written as index documents, one of an older kind among them, and read back."""
+    path = os.path.join(shared_folder(spark), f"index-{uuid.uuid4().hex}")
+    patterns = _patterns(spark, d)
+    bases = F.lit(-(-patterns.count() // 500) or 1)
+    older = spark.range(1).select(F.lit('{"version":"0.9.0","createdAt":"x","featureCount":0}').alias("value"))
+    kbjson.index_documents(patterns, F.pmod(F.xxhash64("id"), bases)).unionByName(older).write.text(path)
+    index = kbjson.read_index(spark, path, lines=True)
+    return index.select("version", F.explode_outer("patterns").alias("p")).select("version", "p.id", "p.name", F.col("p.savedAt").alias("saved_at"))
+
+
+@query
+def source_tree_scan(spark, d):
+    """The last scan of every file written out as a tree, and the tree read again."""
+    folder = shared_folder(spark)
+    scheme, _, place = folder.rpartition(":")
+    if scheme not in ("", "file"):
+        raise RuntimeError("a tree of files needs a mounted folder")
+    root = os.path.join("/" + place.lstrip("/"), f"tree-{uuid.uuid4().hex}")
+    last = table(spark, d, "class_info").where("content IS NOT NULL AND file_path IS NOT NULL").groupBy("file_path").agg(F.max_by("content", "pos").alias("content"))
+    corpus.write_source_files(last, root)
+    return corpus.read_source_files(spark, root).select(F.substring("file_path", len(root) + 1, 1 << 20).alias("file_path"), F.md5(F.col("content").cast("binary")).alias("digest"))
