@@ -121,14 +121,17 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def _split_crowded(bucket: np.ndarray, own: np.ndarray, crowd: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of one block by bucket; of a bucket of more than ``crowd`` + 1 rows, only so many, and whose the rest are."""
+def _split_crowded(bucket: np.ndarray, own: np.ndarray, crowd: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of one block in their order; of a bucket of more than ``crowd`` + 1 rows, only so many, and whose the rest are.
+
+    As they come, the rows of a class stand together, which compresses well.
+    """
     order = np.argsort(bucket, kind="stable")
-    bucket, own = bucket[order], own[order]
-    first = np.flatnonzero(_starts(bucket))
+    first = np.flatnonzero(_starts(bucket[order]))
     size = np.diff(np.append(first, len(bucket)))
-    keep = np.arange(len(bucket)) - np.repeat(first, size) <= crowd
-    return np.stack([bucket[keep], own[keep]]), np.unique(own[~keep])
+    keep = np.ones(len(bucket), bool)
+    keep[order] = np.arange(len(bucket)) - np.repeat(first, size) <= crowd
+    return bucket[keep], own[keep], np.unique(own[~keep])
 
 
 class _BucketPairs:
@@ -258,7 +261,7 @@ class NearDuplicates:
         permutations = max(-(-bands * rows // 2), rows)
 
         def out(held: list) -> pa.RecordBatch:
-            (bucket, own), crowded = _split_crowded(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), crowd)
+            bucket, own, crowded = _split_crowded(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), crowd)
             empty = pa.nulls(len(crowded), pa.int64())
             return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(bucket), empty]), pa.array(np.concatenate([own, crowded]))], names=["bucket", "class"])
 
