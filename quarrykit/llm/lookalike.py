@@ -183,7 +183,9 @@ def look_alike_forms(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     shown = cut_lineage(_digests(df, key, text).where("form_digest IS NOT NULL"))
     least = shown.groupBy("form_digest", "text_digest").agg(F.min(key).alias("spelling"), F.count(F.lit(1)).alias("rows"))
-    forms = least.groupBy("form_digest").agg(F.min("spelling").alias("form"), F.sum("rows").alias("form_rows"), F.count(F.lit(1)).alias("form_spellings")).where("form_spellings > 1")
+    forms = least.groupBy("form_digest").agg(
+        F.min("spelling").alias("form"), F.sum("rows").alias("form_rows"), F.count(F.lit(1)).alias("form_spellings")
+    ).where("form_spellings > 1")
     named = least.join(forms, "form_digest").select("text_digest", "form", "spelling", "form_rows", "form_spellings")
     return shown.join(named, "text_digest").select(key, "form", "spelling", "form_rows", "form_spellings")
 
@@ -206,7 +208,8 @@ def look_alike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     a = kept.select("form_digest", F.col("text_digest").alias("text_a"), every.alias("part_a"))
     b = kept.select("form_digest", F.col("text_digest").alias("text_b"), every.alias("part_b"))
     met = a.join(b, "form_digest").where("text_a < text_b").select("text_a", "part_a", "text_b", "part_b")
-    rows = shown.join(kept.select("text_digest", "parts"), "text_digest").select("text_digest", F.pmod(F.xxhash64(key), F.col("parts")).cast("int").alias("part"), F.col(key).alias("row"))
+    part = F.pmod(F.xxhash64(key), F.col("parts")).cast("int").alias("part")
+    rows = shown.join(kept.select("text_digest", "parts"), "text_digest").select("text_digest", part, F.col(key).alias("row"))
     left = rows.select(F.col("text_digest").alias("text_a"), F.col("part").alias("part_a"), F.col("row").alias("x"))
     right = rows.select(F.col("text_digest").alias("text_b"), F.col("part").alias("part_b"), F.col("row").alias("y"))
     pairs = met.join(left, ["text_a", "part_a"]).join(right, ["text_b", "part_b"])

@@ -235,8 +235,12 @@ class NearDuplicates:
                         continue
                     count = count[full]
                     digest, stop, packed = _digests(sets, count), np.cumsum(count), pack(sets)
-                    items = [None if d in seen or seen.add(d) else packed[b - n : b].tobytes() for d, b, n in zip(map(tuple, digest.tolist()), stop.tolist(), count.tolist())]
-                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(full)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(items, pa.binary())], names=["key", "class", "check", "items"])
+                    items = []
+                    for own, b, n in zip(map(tuple, digest.tolist()), stop.tolist(), count.tolist()):
+                        items.append(None if own in seen else packed[b - n : b].tobytes())
+                        seen.add(own)
+                    columns = [keys.take(pa.array(full)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(items, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "class", "check", "items"])
 
         kind = self.source.schema["key"].dataType.simpleString()
         self._made = cut_lineage(self.source.mapInArrow(run, f"key {kind}, class bigint, check bigint, items binary"))
@@ -299,11 +303,13 @@ class NearDuplicates:
             for batch in batches:
                 run, n = unpack(batch.column(2).to_pylist())
                 own, check = (np.repeat(np.asarray(batch.column(i)), n) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(check), pa.array(np.repeat(n, n)), pa.array(run.view(np.int64))], names=["class", "check", "n", "run"])
+                columns = [pa.array(own), pa.array(check), pa.array(np.repeat(n, n)), pa.array(run.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["class", "check", "n", "run"])
 
         runs = sets.select("class", "check", "items").mapInArrow(explode, "class bigint, check bigint, n bigint, run bigint")
         common = runs.groupBy("run").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-        ranked = runs.join(common, "run", "left").groupBy("class", "check", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "run"))).alias("order"))
+        by_rarity = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "run")))
+        ranked = runs.join(common, "run", "left").groupBy("class", "check", "n").agg(by_rarity.alias("order"))
         length = F.col("n") - F.ceil(F.col("n") * num / den) + 1
         prefix = ranked.select("class", "n", F.posexplode(F.slice("order", F.lit(1), length.cast("int"))).alias("place", "x"))
         shared = prefix.where("x.df > 1").select(F.col("x.run").alias("run"), "class", "n", (F.col("n") - F.col("place")).alias("left"))
@@ -320,7 +326,8 @@ class NearDuplicates:
             made = _BucketPairs(crowd)
 
             def out(a, b, crowded):
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, crowded])), pa.concat_arrays([pa.array(b), pa.nulls(len(crowded), pa.int64())])], names=["a", "b"])
+                other = pa.concat_arrays([pa.array(b), pa.nulls(len(crowded), pa.int64())])
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, crowded])), other], names=["a", "b"])
 
             none = np.zeros(0, np.int64)
             for batch in batches:
@@ -335,7 +342,8 @@ class NearDuplicates:
         met = cut_lineage(ordered.mapInArrow(run, "a bigint, b bigint").distinct())
         crowded = met.where("b IS NULL").select(F.col("a").alias("class"), F.lit(True).alias("crowded"))
         sets = self._sets().join(crowded, "class", "left").where((F.length("items") <= self.few_runs * RUN_BYTES) | F.col("crowded"))
-        halves = self.members().groupBy(F.col("class").alias("a")).agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low < high").select("a", F.col("a").alias("b"))
+        checks = self.members().groupBy(F.col("class").alias("a")).agg(F.min("check").alias("low"), F.max("check").alias("high"))
+        halves = checks.where("low < high").select("a", F.col("a").alias("b"))
         return met.where("b IS NOT NULL").unionByName(halves).unionByName(self._rare_prefixes(sets)).distinct()
 
     def class_pairs(self) -> DataFrame:
@@ -426,10 +434,15 @@ def pattern_groups(patterns: DataFrame, **options) -> DataFrame:
     members = cut_lineage(members)
     # a class goes by the least of its current rows
     classes = members.groupBy("class", "check").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("node"))
-    side = lambda x: classes.select(F.col("class").alias(x), F.col("check").alias(f"check_{x}"), F.col("n").alias(f"n_{x}"), F.col("node").alias(f"node_{x}"))
-    edges = cut_lineage(found.class_pairs().join(side("a"), ["a", "check_a"]).join(side("b"), ["b", "check_b"]).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b"))
+
+    def side(x: str) -> DataFrame:
+        return classes.select(F.col("class").alias(x), F.col("check").alias(f"check_{x}"), F.col("n").alias(f"n_{x}"), F.col("node").alias(f"node_{x}"))
+
+    met = found.class_pairs().join(side("a"), ["a", "check_a"]).join(side("b"), ["b", "check_b"])
+    edges = cut_lineage(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b"))
     part = connected_groups(edges).select("node", F.col("component").alias("group"))
-    links = edges.select(F.col("a").alias("node"), F.col("n_b").alias("m")).unionByName(edges.select(F.col("b").alias("node"), F.col("n_a").alias("m"))).groupBy("node").agg(F.sum("m").alias("m"))
+    one, other = edges.select(F.col("a").alias("node"), F.col("n_b").alias("m")), edges.select(F.col("b").alias("node"), F.col("n_a").alias("m"))
+    links = one.unionByName(other).groupBy("node").agg(F.sum("m").alias("m"))
     known = classes.join(links, "node", "left").join(part, "node", "left").select(
         "class", "check", F.coalesce("group", "node").alias("group"), (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("links")
     ).where("links > 0")

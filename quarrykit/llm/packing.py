@@ -267,9 +267,19 @@ def container_fill(placed: DataFrame, budgets: DataFrame) -> DataFrame:
     containers' room that tokens take. Budgets without a token have no row.
     """
     used = placed.where("n_tokens > 0").groupBy("budget_id").agg(
-        (F.max("container") + 1).alias("containers"), F.sum("n_tokens").alias("tokens"), F.count_if(F.col("bucket") > F.col("n_tokens")).alias("padded_rows"), F.sum(F.col("bucket") - F.col("n_tokens")).alias("padding")
-    )
+        (F.max("container") + 1).alias("containers"),
+        F.sum("n_tokens").alias("tokens"),
+        F.count_if(F.col("bucket") > F.col("n_tokens")).alias("padded_rows"),
+        F.sum(F.col("bucket") - F.col("n_tokens")).alias("padding"),
+    )
     capacity = budgets.select("budget_id", F.col("capacity").cast("bigint").alias("capacity"))
     return used.join(F.broadcast(capacity.limit(MAX_BUDGETS)), "budget_id").select(
-        "budget_id", "capacity", "containers", F.ceil(F.col("tokens") / F.col("capacity")).alias("least_containers"), "tokens", "padded_rows", "padding", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 6).alias("fill")
+        "budget_id",
+        "capacity",
+        "containers",
+        F.ceil(F.col("tokens") / F.col("capacity")).alias("least_containers"),
+        "tokens",
+        "padded_rows",
+        "padding",
+        F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 6).alias("fill"),
     )

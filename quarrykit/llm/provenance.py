@@ -195,8 +195,16 @@ def file_trees(files: DataFrame) -> DataFrame:
         offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
         digest = [hashlib.blake2b(leaf[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
         found, shown = zip(*[signs(p, t) for p, t in zip(path, text)])
-        columns = [pa.array(pos, pa.int64()), pa.array(workspace, pa.string()), pa.array(path, pa.string()), pa.array(found, pa.string()), pa.array(shown, pa.string()), pa.array(digest, pa.binary())]
-        return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(leaf.view(np.int64)))], names=["pos", "workspace", "file_path", "sign", "shown", "digest", "leaves"])
+        columns = {
+            "pos": pa.array(pos, pa.int64()),
+            "workspace": pa.array(workspace, pa.string()),
+            "file_path": pa.array(path, pa.string()),
+            "sign": pa.array(found, pa.string()),
+            "shown": pa.array(shown, pa.string()),
+            "digest": pa.array(digest, pa.binary()),
+            "leaves": pa.ListArray.from_arrays(pa.array(offsets), pa.array(leaf.view(np.int64))),
+        }
+        return pa.RecordBatch.from_pydict(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = SpanHash()
@@ -240,7 +248,8 @@ def shared_leaves(trees: DataFrame) -> DataFrame:
 
 def _between_workspaces(nodes: DataFrame, *digest: str) -> DataFrame:
     """The digests that two workspaces have at least, of nodes that are no idiom."""
-    return nodes.where(F.col("n_leaves") >= RUN_LEAVES).groupBy(*digest).agg(F.min("workspace").alias("low"), F.max("workspace").alias("high")).where("low < high").select(*digest)
+    ends = nodes.where(F.col("n_leaves") >= RUN_LEAVES).groupBy(*digest).agg(F.min("workspace").alias("low"), F.max("workspace").alias("high"))
+    return ends.where("low < high").select(*digest)
 
 
 def _ancestors(path: str) -> Column:
@@ -262,8 +271,11 @@ def shared_subtrees(trees: DataFrame) -> DataFrame:
     up = once.select("workspace", "file_path", "digest", "n_leaves", F.explode(_ancestors("file_path")).alias("directory"))
     inside = F.expr("substring(file_path, length(directory) + 2)")
     nodes = up.groupBy("workspace", "directory").agg(
-        F.bit_xor(F.xxhash64(inside, "digest")).alias("d1"), F.bit_xor(F.xxhash64("digest", inside, F.lit(1))).alias("d2"), F.count(F.lit(1)).alias("files"), F.sum("n_leaves").alias("n_leaves")
-    )
+        F.bit_xor(F.xxhash64(inside, "digest")).alias("d1"),
+        F.bit_xor(F.xxhash64("digest", inside, F.lit(1))).alias("d2"),
+        F.count(F.lit(1)).alias("files"),
+        F.sum("n_leaves").alias("n_leaves"),
+    )
     digest = ["d1", "d2", "files"]
     shared = nodes.join(_between_workspaces(nodes, *digest), digest, "left_semi").select("workspace", "directory")
     above = shared.select("workspace", F.col("directory").alias("up"))
@@ -293,7 +305,8 @@ def file_origins(files: DataFrame, shared: float = SHARED) -> DataFrame:
     plan is made.
     """
     trees = cut_lineage(file_trees(files))
-    below = trees.select("pos", "workspace", F.explode(_ancestors("file_path")).alias("directory")).join(shared_subtrees(trees), ["workspace", "directory"], "left_semi").select("pos")
+    placed = trees.select("pos", "workspace", F.explode(_ancestors("file_path")).alias("directory"))
+    below = placed.join(shared_subtrees(trees), ["workspace", "directory"], "left_semi").select("pos")
     copied = below.unionByName(shared_files(trees)).distinct().withColumn("subtree", F.lit(True))
     share = F.coalesce(F.col("found") / F.nullif(F.size("leaves"), F.lit(0)), F.lit(0.0))
     judged = trees.join(shared_leaves(trees), "pos", "left").join(copied, "pos", "left").withColumn("share", share)

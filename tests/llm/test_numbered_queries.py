@@ -24,5 +24,5 @@ def test_columns_and_rows(spark, name):
 
         con = duckdb.connect()
         con.sql(f"create view saved_pattern as select * from '{D}/saved_pattern.parquet'")
-        want = con.sql(f"select {', '.join(df.columns)} from ({ORACLES[name]})").fetchall()
+        want = con.sql("select " + ", ".join(f'"{c}"' for c in df.columns) + f" from ({ORACLES[name]})").fetchall()
         assert sorted(map(repr, rows)) == sorted(map(repr, want))
