@@ -208,3 +208,4 @@ ORACLES = {
  g AS (SELECT *, {suggested_tags('code', 'q')} AS tags FROM f)
  SELECT session_id, seq, code, {code_language('code')} AS language, {suggested_name('code', 'q')} AS suggested_name, q AS suggested_description, array_to_string({distinct('tags')}, ', ') AS suggested_tags FROM g""",
 }
+ORACLES["view_all_events"] = f"SELECT * FROM ({ORACLES['view_events']}) UNION ALL SELECT * FROM ({ORACLES['view_save_events']})"

@@ -424,3 +424,10 @@ def source_tree_scan(spark, d):
     last = table(spark, d, "class_info").where("content IS NOT NULL AND file_path IS NOT NULL").groupBy("file_path").agg(F.max_by("content", "pos").alias("content"))
     corpus.write_source_files(last, root)
     return corpus.read_source_files(spark, root).select(F.substring("file_path", len(root) + 1, 1 << 20).alias("file_path"), F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
+@query
+def view_all_events(spark, d):
+    """K4: what the view is told after every event, all seven kinds."""
+    events, replies = table(spark, d, "chat_event"), cut_lineage(_matched(spark, d, F.col("response")).withColumnRenamed("made", "response"))
+    return session.view_events(events, replies).unionByName(session.save_events(events, replies))
